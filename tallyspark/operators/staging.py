@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import catalog
 from tallyspark.functions.scalars import clean_label, first_parenthesis, normalised_text, numeric, period_scope, standard_amount, text, trimmed, unit_name
+from tallyspark.operators.lineage import materialised
 
 DOCUMENT = ["document_id", "stock_code", "report_year", "report_period"]
 TABLE = ["document_id", "page_number", "table_index"]
@@ -187,80 +188,98 @@ def share_counts(rows: DataFrame) -> DataFrame:
     return named.groupBy(*DOCUMENT).agg(F.max_by(value, F.struct("page_number", "table_index", "row_pos")).alias("total_shares"))
 
 
-def reconciled_and_derived(facts: DataFrame, shares: DataFrame) -> DataFrame:
-    """Facts with equal fields aligned and absent ratios added, from one map of a document's few facts."""
-    record = [c for c in FACT_COLUMNS if c not in (*DOCUMENT, "target_table", "target_field")]
-    name = F.concat_ws(".", "target_table", "target_field")
-    of_document = facts.groupBy(*DOCUMENT).agg(F.map_from_entries(F.collect_list(F.struct(name.alias("k"), F.struct(*record).alias("v")))).alias("m")).join(shares, DOCUMENT, "left")
-
-    def made(table: str, label: Column, value: Column, unit: Column, around: Column, period_name: Column, confidence: float, formula: str) -> Column:
-        parts = {
-            "source_label": label,
-            "raw_value": value.cast("decimal(24,6)").cast("string"),
-            "raw_unit": unit,
-            "standard_value": value.cast("decimal(24,6)"),
-            "standard_unit": unit,
-            "period_scope": period_scope(F.lit(table), F.col("report_period")),
-            "source_period_label": period_name,
-            "is_derived": F.lit(True),
-            "derivation_formula": F.lit(formula),
-            "page_number": around["page_number"],
-            "table_index": around["table_index"],
-            "confidence": F.lit(confidence).cast("decimal(8,6)"),
-        }
-        return F.struct(*[parts[c].cast(facts.schema[c].dataType).alias(c) for c in record])
-
-    def entries(items: list[tuple[str, Column, Column]]) -> Column:
-        """Map entries (key, record) for which a condition holds."""
-        listed = F.array(*[F.struct(F.lit(k).alias("key"), F.when(when, v).alias("value")) for k, when, v in items])
-        return F.filter(listed, lambda e: e["value"].isNotNull())
-
-    def aligned(pairs, override: bool) -> Column:
-        out = []
-        for (st, sf), (tt, tf) in pairs:
-            source, target = F.col("m")[f"{st}.{sf}"], F.col("m")[f"{tt}.{tf}"]
-            differs = target.isNull() | (~target["standard_value"].eqNullSafe(source["standard_value"]) if override else F.lit(False))
-            key = f"{tt}.{tf}"
-            out.append((key, source["standard_value"].isNotNull() & differs, made(tt, F.lit(f"equivalent:{st}.{sf}"), source["standard_value"], F.coalesce(F.lit(catalog.unit_of(tf)), source["standard_unit"]), source, source["source_period_label"], 0.89, f"{key} = {st}.{sf}")))
-        return entries(out)
-
-    def put(new: Column) -> Column:
-        fresh = F.map_from_entries(new)
-        return F.map_concat(F.map_filter("m", lambda k, v: ~F.array_contains(F.map_keys(fresh), k)), fresh)
-
-    # gaps are filled only from what the statements themselves say, overriding first
-    both = F.concat(aligned(catalog.EQUIVALENT, True), aligned(catalog.FILL_ONLY, False))
-    of_document = of_document.withColumn("m", put(both))
-    get = lambda t, f: F.col("m")[f"{t}.{f}"]["standard_value"]
+def reconciled(facts: DataFrame) -> DataFrame:
+    """Facts with equal fields of two tables aligned: the core table's value holds, statements only fill its gaps.
+
+    The rule list is joined to the facts, and its targets back to them; both are keyed by document.
+    """
+    spark = facts.sparkSession
+    pairs = [(st, sf, tt, tf, catalog.unit_of(tf), o) for rules, o in ((catalog.EQUIVALENT, True), (catalog.FILL_ONLY, False)) for (st, sf), (tt, tf) in rules]
+    rules = F.broadcast(spark.createDataFrame(pairs, "target_table string, target_field string, to_table string, to_field string, to_unit string, overrides boolean"))
+    there = facts.select(*DOCUMENT, F.col("target_table").alias("to_table"), F.col("target_field").alias("to_field"), F.col("standard_value").alias("there"), F.lit(True).alias("exists"))
+    met = facts.where("standard_value is not null").join(rules, ["target_table", "target_field"]).join(there, [*DOCUMENT, "to_table", "to_field"], "left")
+    due = met.where(F.col("exists").isNull() | (F.col("overrides") & ~F.col("there").eqNullSafe(F.col("standard_value"))))
+    source = F.concat_ws(".", "target_table", "target_field")
+    fresh = due.select(
+        *DOCUMENT,
+        F.col("to_table").alias("target_table"),
+        F.col("to_field").alias("target_field"),
+        F.concat(F.lit("equivalent:"), source).alias("source_label"),
+        F.col("standard_value").cast("string").alias("raw_value"),
+        F.col("standard_unit").alias("raw_unit"),
+        "standard_value",
+        F.col("to_unit").alias("standard_unit"),
+        period_scope(F.col("to_table"), F.col("report_period")).alias("period_scope"),
+        "source_period_label",
+        F.lit(True).alias("is_derived"),
+        F.concat(F.col("to_table"), F.lit("."), F.col("to_field"), F.lit(" = "), source).alias("derivation_formula"),
+        "page_number",
+        "table_index",
+        F.lit(0.89).cast("decimal(8,6)").alias("confidence"),
+    )
+    keys = [*DOCUMENT, "target_table", "target_field"]
+    return facts.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+
+
+def derived(facts: DataFrame, shares: DataFrame) -> DataFrame:
+    """Ratios that the facts of a document imply and that it doesn't state."""
     CORE, INCOME, BALANCE, CASH = catalog.CORE, catalog.INCOME, catalog.BALANCE, catalog.CASH
-    wide = "decimal(38,10)"
-    ratio = lambda a, b: F.try_divide(a.cast("double") * 100, F.nullif(b, F.lit(0)).cast("double")).cast(wide)
-    revenue = F.coalesce(F.nullif(get(CORE, "total_operating_revenue"), F.lit(0)), get(INCOME, "total_operating_revenue"))
     expenses = [f for f in catalog.METRICS[INCOME] if f.startswith("operating_expense_")]
-    total = sum((F.coalesce(get(INCOME, f), F.lit(0)) for f in expenses), F.lit(0).cast(wide))
-    share = F.nullif(F.col("total_shares"), F.lit(0))
-    flow = get(CASH, "net_cash_flow")
-    flow = F.abs(F.when(F.col("m")[f"{CASH}.net_cash_flow"]["standard_unit"] == "元", flow / 10000).otherwise(flow))
-    derived = [
-        (CORE, "gross_profit_margin", ratio(revenue - get(INCOME, "operating_expense_cost_of_sales"), revenue), ((CORE, "total_operating_revenue"), (INCOME, "operating_expense_cost_of_sales")), "(revenue - cost) / revenue * 100"),
-        (CORE, "net_profit_margin", ratio(get(CORE, "net_profit_10k_yuan"), revenue), ((CORE, "net_profit_10k_yuan"),), "net profit / revenue * 100"),
-        (INCOME, "total_operating_expenses", F.when(F.coalesce(*[get(INCOME, f) for f in expenses]).isNotNull(), total), tuple((INCOME, f) for f in expenses), "sum of the expenses present"),
-        (BALANCE, "asset_liability_ratio", ratio(get(BALANCE, "liability_total_liabilities"), get(BALANCE, "asset_total_assets")), ((BALANCE, "liability_total_liabilities"),), "liabilities / assets * 100"),
-        (CORE, "net_asset_per_share", F.try_divide(get(BALANCE, "equity_total_equity"), share).cast(wide), ((BALANCE, "equity_total_equity"),), "equity / shares"),
-        (CORE, "operating_cf_per_share", F.try_divide(get(CASH, "operating_cf_net_amount"), share).cast(wide), ((CASH, "operating_cf_net_amount"),), "operating cash flow / shares"),
-        *[(CASH, f"{k}_cf_ratio_of_net_cf", ratio(get(CASH, f"{k}_cf_net_amount"), flow), ((CASH, f"{k}_cf_net_amount"),), f"{k} cash flow / |net cash flow| * 100") for k in ("operating", "investing", "financing")],
+    flows = ("operating", "investing", "financing")
+    needed = [(CORE, "total_operating_revenue"), (INCOME, "total_operating_revenue"), (CORE, "net_profit_10k_yuan"), (BALANCE, "asset_total_assets"), (BALANCE, "liability_total_liabilities"), (BALANCE, "equity_total_equity"), (CASH, "net_cash_flow")]
+    needed += [(INCOME, f) for f in expenses] + [(CASH, f"{k}_cf_net_amount") for k in flows]
+    name = lambda t, f: f"{t[:4]}_{f}"
+    found = [F.max(F.when((F.col("target_table") == t) & (F.col("target_field") == f), F.struct("standard_value", "page_number", "table_index", "standard_unit"))).alias(name(t, f)) for t, f in needed]
+    one = facts.groupBy(*DOCUMENT).agg(*found).join(shares, DOCUMENT, "left")
+    v = lambda t, f: F.col(name(t, f))["standard_value"].cast("double")
+    one = one.withColumns(
+        {
+            "revenue": F.coalesce(F.nullif(v(CORE, "total_operating_revenue"), F.lit(0.0)), v(INCOME, "total_operating_revenue")),
+            "flow": F.abs(F.when(F.col(name(CASH, "net_cash_flow"))["standard_unit"] == "元", v(CASH, "net_cash_flow") / 10000).otherwise(v(CASH, "net_cash_flow"))),
+            "shares": F.col("total_shares").cast("double"),
+        }
+    )
+    over = lambda a, b, by=100: F.try_divide(a * by, F.nullif(b, F.lit(0.0)))
+    total = sum((F.coalesce(v(INCOME, f), F.lit(0.0)) for f in expenses), F.lit(0.0))
+    cost = v(INCOME, "operating_expense_cost_of_sales")
+    made = [
+        (CORE, "gross_profit_margin", over(F.col("revenue") - cost, F.col("revenue")), [(CORE, "total_operating_revenue"), (INCOME, "operating_expense_cost_of_sales")], "(revenue - cost) / revenue * 100"),
+        (CORE, "net_profit_margin", over(v(CORE, "net_profit_10k_yuan"), F.col("revenue")), [(CORE, "net_profit_10k_yuan")], "net profit / revenue * 100"),
+        (INCOME, "total_operating_expenses", F.when(F.coalesce(*[v(INCOME, f) for f in expenses]).isNotNull(), total), [(INCOME, f) for f in expenses], "sum of the expenses present"),
+        (BALANCE, "asset_liability_ratio", over(v(BALANCE, "liability_total_liabilities"), v(BALANCE, "asset_total_assets")), [(BALANCE, "liability_total_liabilities")], "liabilities / assets * 100"),
+        (CORE, "net_asset_per_share", over(v(BALANCE, "equity_total_equity"), F.col("shares"), 1), [(BALANCE, "equity_total_equity")], "equity / shares"),
+        (CORE, "operating_cf_per_share", over(v(CASH, "operating_cf_net_amount"), F.col("shares"), 1), [(CASH, "operating_cf_net_amount")], "operating cash flow / shares"),
+        *[(CASH, f"{k}_cf_ratio_of_net_cf", over(v(CASH, f"{k}_cf_net_amount"), F.col("flow")), [(CASH, f"{k}_cf_net_amount")], f"{k} cash flow / |net cash flow| * 100") for k in flows],
     ]
-    extra = entries(
-        [
-            (f"{t}.{f}", value.isNotNull() & F.col("m")[f"{t}.{f}"].isNull(), made(t, F.lit(f"derived:{f}"), value, F.lit(catalog.unit_of(f)), F.coalesce(*[F.col("m")[f"{a}.{b}"] for a, b in needs]), F.lit("derived"), 0.88, formula))
-            for t, f, value, needs, formula in derived
-        ]
+    items = [F.struct(F.lit(t).alias("t"), F.lit(f).alias("f"), value.cast("decimal(24,6)").alias("value"), F.coalesce(*[F.col(name(*n)) for n in needs]).alias("near"), F.lit(formula).alias("formula"), F.lit(catalog.unit_of(f)).alias("unit")) for t, f, value, needs, formula in made]
+    rows = one.select(*DOCUMENT, F.inline(F.array(*items))).where("value is not null")
+    fresh = rows.select(
+        *DOCUMENT,
+        F.col("t").alias("target_table"),
+        F.col("f").alias("target_field"),
+        F.concat(F.lit("derived:"), F.col("f")).alias("source_label"),
+        F.col("value").cast("string").alias("raw_value"),
+        F.col("unit").alias("raw_unit"),
+        F.col("value").alias("standard_value"),
+        F.col("unit").alias("standard_unit"),
+        period_scope(F.col("t"), F.col("report_period")).alias("period_scope"),
+        F.lit("derived").alias("source_period_label"),
+        F.lit(True).alias("is_derived"),
+        F.col("formula").alias("derivation_formula"),
+        F.col("near.page_number").alias("page_number"),
+        F.col("near.table_index").alias("table_index"),
+        F.lit(0.88).cast("decimal(8,6)").alias("confidence"),
     )
-    return of_document.withColumn("m", put(extra)).select(*DOCUMENT, F.explode("m").alias("k", "v")).select(*DOCUMENT, F.substring_index("k", ".", 1).alias("target_table"), F.substring_index("k", ".", -1).alias("target_field"), "v.*").select(*FACT_COLUMNS)
+    keys = [*DOCUMENT, "target_table", "target_field"]
+    return fresh.join(facts.select(*keys), keys, "left_anti")
 
 
 def staging_facts(tables: DataFrame, companies: DataFrame, strict_growth: bool = True) -> DataFrame:
-    """All facts of raw tables whose company is known and whose year and period are given."""
+    """All facts of raw tables whose company is known and whose year and period are given.
+
+    Rows and candidates are written once: the later steps read them several times.
+    """
     admitted = tables.where("stock_code is not null and report_year is not null and report_period is not null").join(companies.select("stock_code").distinct(), "stock_code", "left_semi")
-    rows = typed_rows(table_rows(admitted))
-    return reconciled_and_derived(facts_of(rows, strict_growth), share_counts(rows))
+    rows = materialised(typed_rows(table_rows(admitted)))
+    facts = reconciled(materialised(facts_of(rows, strict_growth)))
+    return facts.unionByName(derived(facts, share_counts(rows)))
