@@ -41,17 +41,18 @@ def postings(chunks: DataFrame, id_col: str, text_col: str, cjk: bool = True) ->
 def bm25(chunks: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", q_id: str = "qid", q_text: str = "question", cjk: bool = True) -> DataFrame:
     """``qid, id, score, rank``: the k best chunks of each question with a positive score, ties by id.
 
-    Only postings of question tokens are scored: they are found by a join on the token, after the
-    questions' distinct tokens have cut the postings down. A token of the question counts as often as it occurs there.
+    Only postings of question tokens are counted and shuffled: the questions' distinct tokens cut the
+    tokens down where they are read. A token of the question counts as often as it occurs there.
     """
-    index = postings(chunks, id_col, text_col, cjk)
     asked = questions.select(q_id, F.explode(tokens(F.col(q_text), cjk)).alias("token")).groupBy(q_id, "token").agg(F.count("*").alias("qf"))
     sizes = chunks.select(F.size(tokens(F.col(text_col), cjk)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    needed = index.join(asked.select("token").distinct(), "token", "left_semi")
+    listed = chunks.select(F.col(id_col), tokens(F.col(text_col), cjk).alias("t")).withColumn("dl", F.size("t"))
+    occurring = listed.select(id_col, "dl", F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    needed = occurring.groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     frequency = needed.groupBy("token").agg(F.count("*").alias("df"))
     n, avgdl = sizes.first()
     if not n or not avgdl:
-        return asked.join(index, "token").select(q_id, id_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return asked.join(needed, "token").select(q_id, id_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl))))
     scored = needed.join(frequency.withColumn("idf", idf), "token").join(asked, "token").groupBy(q_id, id_col).agg(F.round(F.sum(part), 6).alias("score"))
