@@ -21,6 +21,27 @@ def retrieval_metrics(found: DataFrame, golden: DataFrame, k: int, q_id: str = "
     )
 
 
+def coarse_recall(channels: dict[str, DataFrame], golden: DataFrame, ks: tuple[int, ...], q_id: str = "qid", id_col: str = "doc_id") -> DataFrame:
+    """``fusion, k, recall``: mean share of the relevant documents among the first k rows of each way of fusing."""
+    wanted = golden.select(q_id, id_col).distinct()
+    sizes = wanted.groupBy(q_id).agg(F.count("*").alias("n"))
+    hits = None
+    for name, found in channels.items():
+        best = found.groupBy(q_id, id_col).agg(F.min("rank").alias("r")).join(wanted, [q_id, id_col])
+        part = best.select(q_id, F.lit(name).alias("fusion"), "r")
+        hits = part if hits is None else hits.unionByName(part)
+    counted = hits.select("*", F.explode(F.array(*map(F.lit, ks))).alias("k")).groupBy("fusion", "k", q_id).agg(F.count_if(F.col("r") <= F.col("k")).alias("hit"))
+    grid = F.explode(F.array(*[F.struct(F.lit(name).alias("fusion"), F.lit(k).alias("k")) for name in channels for k in ks])).alias("g")
+    whole = sizes.select(q_id, "n", grid).select(q_id, "n", "g.fusion", "g.k").join(counted, [q_id, "fusion", "k"], "left")
+    return whole.groupBy("fusion", "k").agg(F.round(F.avg(F.coalesce("hit", F.lit(0)) / F.col("n")), 6).alias("recall"))
+
+
+def judging_batches(pool: DataFrame, size: int = 8, q_id: str = "qid", order: str = "rank") -> DataFrame:
+    """Candidates with the ``batch`` of a question in which a judge gets them, counted from 0."""
+    place = F.row_number().over(Window.partitionBy(q_id).orderBy(order))
+    return pool.withColumn("batch", F.floor((place - 1) / size).cast("int"))
+
+
 def recall_ceiling(golden: DataFrame, k: int, quota: int, q_id: str = "qid", id_col: str = "doc_id") -> DataFrame:
     """Highest recall that k rows can reach when each document takes up to ``quota`` of them."""
     room = k // quota if quota > 0 else 1
@@ -43,7 +64,7 @@ def bootstrap_interval(values: DataFrame, value: str, key: str, rounds: int = 20
     draws = values.sparkSession.range(rounds).withColumnRenamed("id", "round").select("round", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"))
     tag = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("place").cast("string")).cast("binary"))
     draws = draws.select("round", (F.conv(F.substring(tag, 1, 8), 16, 10).cast("long") % n).cast("int").alias("i"))
-    means = draws.join(F.broadcast(numbered), "i").groupBy("round").agg(F.avg("v").alias("m"))
+    means = draws.join(numbered, "i").groupBy("round").agg(F.avg("v").alias("m"))
     placed = means.withColumn("p", F.row_number().over(Window.orderBy("m", "round")))
     at = lambda q: max(1, min(rounds, int(q * rounds)))
     pick = lambda q, name: F.round(F.max(F.when(F.col("p") == at(q), F.col("m"))), 6).alias(name)

@@ -100,7 +100,7 @@ def recall_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.bootstrap_interval(read(spark, sf_dir, "labels").where("doc_id % 20 = 0"), "quality", "doc_id", rounds=200)
+    return evaluation.bootstrap_interval(read(spark, sf_dir, "labels"), "quality", "doc_id", rounds=200)
 
 
 def status_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +243,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC
         "retrieval_metrics": f"""WITH {_BM25}{_GOLD}, h AS (SELECT qid, count(*) AS n, count(rank) AS hit, min(rank) AS best FROM gold LEFT JOIN (SELECT * FROM bm WHERE rank <= 5) USING (qid, doc_id) GROUP BY qid)
 SELECT count(*) AS questions, round(avg((hit > 0)::INT::DOUBLE), 6) AS hit_rate, round(avg(hit / n), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr FROM h""",
         "recall_ceiling": f"WITH {_BM25}{_GOLD} SELECT round(avg(least(2, n) / n), 6) AS ceiling FROM (SELECT qid, count(*) AS n FROM gold GROUP BY qid)",
-        "bootstrap_ci": """WITH v AS (SELECT quality::DOUBLE AS v, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels WHERE doc_id % 20 = 0), c AS (SELECT max(n) AS n FROM v),
+        "bootstrap_ci": """WITH v AS (SELECT quality::DOUBLE AS v, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels), c AS (SELECT max(n) AS n FROM v),
 d AS (SELECT r.range AS round, p.range AS place FROM range(200) r, (SELECT unnest(range(n)) AS range FROM c) p),
 m AS (SELECT round, avg(v) AS m FROM d, c JOIN v ON v.i = ('0x' || substr(md5('20260807:' || round || ':' || place), 1, 8))::BIGINT % c.n GROUP BY round), s AS (SELECT m, row_number() OVER (ORDER BY m, round) AS p FROM m)
 SELECT round(max(m) FILTER (p = 5), 6) AS low, round(max(m) FILTER (p = 195), 6) AS high FROM s""",

@@ -102,7 +102,11 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 def question_set(spark: SparkSession, path: str) -> DataFrame:
     """``id, kind, turn, question``: a row for each question of the JSON array in a cell, counted from 1."""
-    df = csv_table(spark, path)
+    return asked_questions(csv_table(spark, path))
+
+
+def asked_questions(df: DataFrame) -> DataFrame:
+    """The rows of a question set with the JSON array of questions taken apart; empty questions are left out."""
     parsed = F.from_json("问题", "array<struct<Q:string>>")
     rows = df.select(F.col("编号").alias("id"), F.col("问题类型").alias("kind"), F.posexplode(parsed).alias("at", "q"))
     return rows.select("id", "kind", (F.col("at") + 1).alias("turn"), F.trim("q.Q").alias("question")).where("question <> ''")

@@ -31,7 +31,7 @@ def test_html_tables():
 
 def test_pages_sections_and_tables(spark):
     d = spark.createDataFrame([(1, "lost\n## Page 1\none\n# 第2页\ntwo\n| a | b |\n|---|---|\n| 1\\|2 | |"), (2, "all"), (3, None)], "doc_id int, text string")
-    assert sorted((r["doc_id"], r["page_number"], r["text"].split("\n")[0]) for r in texts.pages(d).collect()) == [(1, 1, "one"), (1, 2, "two"), (2, 1, "all")]
+    assert sorted((r["doc_id"], r["page_number"], *r["text"].split("\n")[:2]) for r in texts.pages(d).collect()) == [(1, 1, "## Page 1", "one"), (1, 2, "# 第2页", "two"), (2, 1, "all")]
     assert [r["rows"] for r in texts.pipe_tables(d).collect()] == [[["a", "b"], ["1|2", ""]]]
     s = spark.createDataFrame([(1, "before\n# T\n\n## U\nx\ny")], "doc_id int, text string")
     assert sorted((r["section_title"], r["text"]) for r in texts.sections(s, fallback="F").collect()) == [("F", "before"), ("U", "x\ny")]
@@ -102,3 +102,19 @@ def test_streamed_sessions(spark, tmp_path):
         q.stop()
     got = {(r["conv_id"], r["turn"]): r["missing"] for r in spark.table("turns_out").collect()}
     assert got[(1, 1)] is None and got[(2, 1)] == "year" and len(got) == 3
+
+
+def test_names_of_reports_and_companies(spark):
+    from tallyspark.functions import report_names
+    from tallyspark.operators import companies
+
+    d = spark.createDataFrame([("600000_20240430.pdf", "2022年年度报告"), ("600000_20240501", None), ("x_20240501", "2023 年\n半年度报告 证券代码：000001"), ("1234567_20241331", ""), (None, None)], "name string, body string")
+    got = d.select(report_names.refined(report_names.file_report(F.col("name")), F.col("body")).alias("r")).select("r.stock_code", "r.report_year", "r.report_period").collect()
+    assert [tuple(r) for r in got] == [("600000", 2022, "FY"), ("600000", 2024, "HY"), ("000001", 2023, "HY"), ("234567", None, None), (None, None, None)]
+    c = spark.createDataFrame([("000001", "Alpha"), ("000002", "Alpha Beta"), ("000003", None), ("000004", "alpha")], "stock_code string, stock_abbr string")
+    t = spark.createDataFrame([(1, "of ALPHA beta"), (2, "alpha"), (3, "证券代码 600001 alpha"), (4, None), (5, "")], "doc_id int, text string")
+    assert sorted(map(tuple, companies.mentioned(t, c).collect())) == [(1, "000002"), (2, "000001"), (3, "600001"), (4, None), (5, None)]
+    n = spark.createDataFrame([("1",), (" ALPHA",), ("zzz",), ("",), (None,)], "name string")
+    assert [tuple(r) for r in companies.resolved(n, c).collect()] == [("1", "000001"), (" ALPHA", "000001"), ("zzz", None), ("", None), (None, None)]
+    two = spark.createDataFrame([("1", 1, "a"), ("000001", 2, "b"), (" ", 3, "c")], "stock_code string, n int, name string")
+    assert [tuple(r) for r in companies.newest(two, "n").collect()] == [("000001", 2, "b")]
