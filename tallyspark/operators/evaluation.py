@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.lineage import numbered
+
 
 def retrieval_metrics(found: DataFrame, golden: DataFrame, k: int, q_id: str = "qid", id_col: str = "doc_id") -> DataFrame:
     """One row: ``questions, hit_rate, recall, mrr`` at k. ``golden`` has a row for each relevant document."""
@@ -57,14 +59,14 @@ def effective_quota(*quotas: Column) -> Column:
 
 def bootstrap_interval(values: DataFrame, value: str, key: str, rounds: int = 2000, alpha: float = 0.05, seed: int = 20260807) -> DataFrame:
     """Percentile interval of the mean: ``low, high``. Rows are drawn by an MD5 of seed, round and place, so it repeats exactly."""
-    numbered = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), (F.row_number().over(Window.orderBy(key)) - 1).alias("i"))
-    n = numbered.count()
+    placed_values = numbered(values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(key).alias("_key")), ["_key"], "i").select("v", F.col("i").cast("int").alias("i"))
+    n = placed_values.count()
     if not n:
         return values.select(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")).limit(1)
     draws = values.sparkSession.range(rounds).withColumnRenamed("id", "round").select("round", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"))
     tag = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("place").cast("string")).cast("binary"))
     draws = draws.select("round", (F.conv(F.substring(tag, 1, 8), 16, 10).cast("long") % n).cast("int").alias("i"))
-    means = draws.join(numbered, "i").groupBy("round").agg(F.avg("v").alias("m"))
+    means = draws.join(placed_values, "i").groupBy("round").agg(F.avg("v").alias("m"))
     placed = means.withColumn("p", F.row_number().over(Window.orderBy("m", "round")))
     at = lambda q: max(1, min(rounds, int(q * rounds)))
     pick = lambda q, name: F.round(F.max(F.when(F.col("p") == at(q), F.col("m"))), 6).alias(name)

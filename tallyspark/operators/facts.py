@@ -91,7 +91,7 @@ def issues_of(facts: DataFrame, runs: DataFrame) -> DataFrame:
     ``runs``: ``run_id, page_count, pages, tables`` (declared and stored pages, stored tables).
     """
     spark = facts.sparkSession
-    required = F.broadcast(spark.createDataFrame([(t, f) for t, fs in catalog.REQUIRED.items() for f in fs], "target_table string, target_field string"))
+    required = F.array(*[F.struct(F.lit(t).alias("target_table"), F.lit(f).alias("target_field")) for t, fs in catalog.REQUIRED.items() for f in fs])
     units = F.broadcast(catalog.fields_table(spark).select(F.col("table_name").alias("target_table"), F.col("field_name").alias("target_field"), F.col("unit").alias("expected_unit")))
     none = [F.lit(None).cast("string").alias("target_table"), F.lit(None).cast("string").alias("target_field")]
     finding = lambda df, rule, status, fields: df.select("run_id", F.lit(rule).alias("rule_name"), F.lit(status).alias("status"), *fields)
@@ -103,7 +103,7 @@ def issues_of(facts: DataFrame, runs: DataFrame) -> DataFrame:
         finding(runs.where("page_count is not null and page_count <> pages"), "raw_page_count_match", "fail", none),
         finding(runs.where("tables = 0"), "raw_tables_present", "fail", none),
         finding(counted.where("coalesce(n_facts, 0) = 0"), "staging_rows_present", "fail", none),
-        finding(runs.select("run_id").crossJoin(required).join(present, ["run_id", *of_fact], "left_anti"), "core_field_present", "warn", of_fact),
+        finding(runs.select("run_id", F.inline(required)).join(present, ["run_id", *of_fact], "left_anti"), "core_field_present", "warn", of_fact),
         finding(facts.where("standard_value is null"), "standard_value_present", "fail", of_fact),
         finding(facts.where("page_number is null or table_index is null"), "source_trace_present", "fail", of_fact),
         finding(facts.where("confidence < 0.70"), "confidence_threshold", "warn", of_fact),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def materialised(df: DataFrame) -> DataFrame:
@@ -13,3 +14,17 @@ def materialised(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with the place of each row in ``order``, from 0, without bringing all rows to one task.
+
+    Rows are sorted into ranges and written; a range counts from the number of rows before it, which
+    is known from one row a range. Rows equal in ``order`` share a range and stand in any order.
+    """
+    ranged = materialised(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_at", within).join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")

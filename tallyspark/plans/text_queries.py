@@ -258,6 +258,8 @@ SELECT qid, doc_id, CASE WHEN c THEN 'confirmed' ELSE 'candidate' END AS part FR
         "label_judge_counts": f"""WITH {_BM25}{_GOLD}, j AS (SELECT qid, doc_id, 1 AS j FROM bm WHERE rank <= 3), c AS (SELECT qid, doc_id, 1 AS c FROM gold), pool AS (SELECT qid, doc_id, 1 AS inside FROM bm)
 SELECT qid, count(*) FILTER (j = 1 AND c = 1) AS hits, count(*) FILTER (c IS NULL) AS extra, count(*) FILTER (j IS NULL) AS missed, count(*) FILTER (c = 1 AND inside IS NULL) AS not_in_pool FROM j FULL JOIN c USING (qid, doc_id) LEFT JOIN pool USING (qid, doc_id) GROUP BY qid""",
         "effective_quota": "SELECT n_nationkey, coalesce(least(nullif(n_nationkey % 5, 0), nullif(n_regionkey, 0)), nullif(n_nationkey % 5, 0), nullif(n_regionkey, 0), 0) AS quota FROM nation",
+        "snippets": r"""WITH t AS (SELECT doc_id, source, lang, trim(regexp_replace(coalesce(text, ''), '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0b}]+', ' ', 'g')) AS s FROM documents)
+SELECT doc_id, CASE WHEN length(s) > 60 THEN length(rtrim(s[1:59])) + 1 ELSE length(s) END::INT AS n, 'doc-' || md5(source || '|' || lang)[1:16] AS id FROM t""",
         "pipe_tables": "SELECT doc_id, 1 AS table_index, source || '~' || lang || ';' || n_chars || '~x' AS cells FROM documents UNION ALL SELECT doc_id, 2, 'z' FROM documents",
         "text_clean_lines": "SELECT doc_id, '# 利润表' || chr(10) || '| ' || source || ' |' || chr(10) || '净利润 1' || chr(10) || '| 项目 | 1 |' AS text FROM documents",
         "page_titles": "SELECT page_id, trim(regexp_replace(regexp_replace(nullif(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), ''), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS title FROM pages",

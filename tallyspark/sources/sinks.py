@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators.facts import merged
+from tallyspark.operators.lineage import numbered
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -50,9 +51,9 @@ def rebuild_runs(fresh: DataFrame, path: str, run: str = "run_id") -> None:
 
 
 def with_ids(fresh: DataFrame, current: DataFrame | None, id_col: str, order: list[str]) -> DataFrame:
-    """Numbers new rows after the highest stored id, in a stated order; meant for batches of runs and documents."""
+    """Numbers new rows after the highest stored id, in a stated order."""
     top = 0 if current is None else current.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
-    return fresh.withColumn(id_col, (F.row_number().over(Window.orderBy(*order)) + F.lit(top)).cast("long"))
+    return numbered(fresh, order, id_col).withColumn(id_col, (F.col(id_col) + F.lit(top + 1)).cast("long"))
 
 
 def mapping_log(facts: DataFrame) -> DataFrame:
