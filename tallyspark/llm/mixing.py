@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.shared import unused
+
 #: Up to so many sources their rates are broadcast (each is a short array); beyond, Spark chooses the join.
 BROADCAST_SOURCES = 5_000
 
@@ -62,12 +64,12 @@ def mix(
     column of the name ``copy_col`` is replaced.
     """
     rates, n = source_rates(docs, source_col, weights, exponent, total)
-    table = rates.select("_source", poisson_cdf(F.col("_rate")).alias("_cdf"))
+    source, cdf, u, times, order = unused(docs, "_source", "_cdf", "_u", "_times", "_order")
+    table = rates.select(F.col("_source").alias(source), poisson_cdf(F.col("_rate")).alias(cdf))
     table = F.broadcast(table) if n <= BROADCAST_SOURCES else table
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != copy_col]
-    u = uniform(id_col, seed)
-    drawn = docs.join(table, docs[source_col].eqNullSafe(table["_source"])).withColumn("_u", u)
-    drawn = drawn.withColumn("_times", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).where("_times > 0")
-    copies = drawn.select(*keep, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias(copy_col))
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(copy_col))
-    return copies.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order").drop("_order")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() != copy_col.lower()]
+    drawn = docs.join(table, docs[source_col].eqNullSafe(table[source])).withColumn(u, uniform(id_col, seed))
+    drawn = drawn.withColumn(times, F.size(F.filter(cdf, lambda c: c <= F.col(u)))).where(F.col(times) > 0)
+    copies = drawn.select(*keep, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy_col))
+    place = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(copy_col))
+    return copies.withColumn(order, place).repartition(order).sortWithinPartitions(order).drop(order)

@@ -113,7 +113,8 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
         return nothing
     picked = [(r["_id"], y) for y in (0, 1) for r in known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).select("_id").collect()]
     chosen = spark.createDataFrame(picked, known.select("_id", "_label").schema)
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select("_label", (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)) == 0).alias("_dict"), F.col(text_col).alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_label", (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)) == 0).alias("_dict"), "_text")
     from tallyspark.llm.shared import checkpointed
 
     sample = checkpointed(sample)

@@ -21,6 +21,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each led by as many underscores as keep it apart from the columns of ``df`` in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def empty_edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "src long, dst long")
 

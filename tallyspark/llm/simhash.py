@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import checkpointed, components, empty_edges
+from tallyspark.llm.shared import checkpointed, components, empty_edges, unused
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -189,9 +189,10 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs`` whose id names their component, one for each; rows with a null id all stay."""
     found = checkpointed(near_documents(docs, id_col, text_col, shingle_words))
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    repeated = not kept.where("_rows > 1").isEmpty()
-    out = docs.join(kept.select("_kept"), docs[id_col].cast("long") == F.col("_kept"), "left_semi")
+    (own,) = unused(docs, "_kept")
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("n_rows"))
+    repeated = not kept.where("n_rows > 1").isEmpty()
+    out = docs.join(kept.select(own), docs[id_col].cast("long") == F.col(own), "left_semi")
     if repeated:
         out = out.dropDuplicates([id_col])
     nameless = docs.where(F.col(id_col).isNull())
