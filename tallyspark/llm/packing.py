@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words kept with their ids by each Python worker.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Documents whose pieces are packed together: large enough that bins fill, small enough for one task.
 GROUP_DOCS = 4096
 
