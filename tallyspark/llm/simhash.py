@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,20 +28,22 @@ LIST_ROWS = 16_384
 PROBE = 16
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of a text's word shingles; 0 without words."""
+def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of a text's word shingles in their order, repeats included; the whole sequence where it is shorter, nothing without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     hashed = xxhash.xxh64_intdigest
     if len(words) <= shingle_words:
-        hashes = np.array([hashed(joined, HASH_SEED)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        begins = (ends - lengths)[: len(words) - shingle_words + 1].tolist()
-        hashes = np.array([hashed(joined[a:b], HASH_SEED) for a, b in zip(begins, ends[shingle_words - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([hashed(joined, HASH_SEED)] if words else [], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    begins = (ends - lengths)[: len(words) - shingle_words + 1].tolist()
+    return np.array([hashed(joined[a:b], HASH_SEED) for a, b in zip(begins, ends[shingle_words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash of a text's word shingles; 0 without words."""
+    hashes = shingle_hashes(text, shingle_words)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]
@@ -101,47 +103,62 @@ def forest(fp: np.ndarray, rep: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def posting_edges(reps: DataFrame) -> DataFrame:
-    """Edges between representatives ``rep, fp`` (fingerprints distinct) that generate all components."""
+def bit_links(values: np.ndarray, rep: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of posting lists of 64-bit fingerprints: lists of two are tallied all at once, longer ones become forests."""
+    fp = values[:, 0]
+    two = begins[sizes == 2]
+    mixed = fp[two] ^ fp[two + 1]
+    tally = (mixed.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+    good = two[(tally >= LEAST_SHARED_BYTES) & (np.bitwise_count(mixed) <= MOST_DIFFERING_BITS)]
+    edges = list(zip(rep[good].tolist(), rep[good + 1].tolist(), strict=True))
+    for a, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        edges += forest(fp[a : a + n], rep[a : a + n])
+    return edges
+
+
+def posting_edges(
+    reps: DataFrame,
+    values: tuple[str, ...] = ("fp",),
+    index: Callable[[pd.DataFrame], np.ndarray] = lambda f: index_keys(f["fp"].to_numpy().view(np.uint64)),
+    link: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]] = bit_links,
+) -> DataFrame:
+    """Edges ``src, dst`` between representatives that meet in a posting list.
+
+    ``reps`` has ``rep``, the longs ``values`` that postings carry, and what ``index`` makes keys
+    from, a row of them for each representative. ``link`` gets carried values (unsigned), representatives,
+    and where the lists begin and how long they are. With the defaults the edges generate all components.
+    """
+    ddl = "key long, rep long, " + ", ".join(f"{v} long" for v in values)
+
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), 4096):
                 g = f.iloc[at : at + 4096]
-                fp = g["fp"].to_numpy()
-                keys = index_keys(fp.view(np.uint64))
-                yield pd.DataFrame({"key": keys.ravel(), "fp": np.repeat(fp, keys.shape[1]), "rep": np.repeat(g["rep"].to_numpy(), keys.shape[1])})
+                keys = index(g)
+                yield pd.DataFrame({"key": keys.ravel()} | {c: np.repeat(g[c].to_numpy(), keys.shape[1]) for c in ("rep", *values)})
 
-    postings = reps.select("fp", "rep").mapInPandas(keyed, "key long, fp long, rep long")
+    postings = reps.mapInPandas(keyed, ddl)
     # long lists, found in a hashed part of the fingerprints; each list is whole all the same
-    probe = reps.where(F.pmod(F.xxhash64("fp"), F.lit(PROBE)) == 0).select("fp", "rep").mapInPandas(keyed, "key long, fp long, rep long")
+    probe = reps.where(F.pmod(F.xxhash64(*values), F.lit(PROBE)) == 0).mapInPandas(keyed, ddl)
     long_lists = checkpointed(probe.groupBy("key").count().where(F.col("count") > LIST_ROWS // (2 * PROBE)).select("key", F.ceil(F.col("count") * PROBE / LIST_ROWS).cast("int").alias("cuts")))
-    unit = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("mine")]
+    unit = [F.lit(0).alias("i"), F.lit(0).alias("j")]
     if not long_lists.isEmpty():
         found = postings.join(long_lists, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-        found = found.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("cuts")).cast("int"))
-        found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        unit = [F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine"]
-        postings = found
-    dealt = postings.select("key", *unit, "fp", "rep")
+        found = found.withColumn("mine", F.pmod(F.xxhash64(*values, F.lit(5)), F.col("cuts")).cast("int"))
+        postings = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        unit = [F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")]
     columns = ["key", "i", "j"]
-    sorted_rows = dealt.repartition(*columns).sortWithinPartitions(*columns, "fp")
+    sorted_rows = postings.select("key", *unit, "rep", *values).repartition(*columns).sortWithinPartitions(*columns, *values)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
         def lists(f: pd.DataFrame) -> pd.DataFrame:
             k = f[columns].to_numpy()
-            fp, rep = f["fp"].to_numpy().view(np.uint64), f["rep"].to_numpy()
             change = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
             begins = np.concatenate([[0], change])
             sizes = np.diff(np.concatenate([begins, [len(f)]]))
-            two = begins[sizes == 2]
-            mixed = fp[two] ^ fp[two + 1]
-            tally = (mixed.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            good = two[(tally >= LEAST_SHARED_BYTES) & (np.bitwise_count(mixed) <= MOST_DIFFERING_BITS)]
-            edges = list(zip(rep[good].tolist(), rep[good + 1].tolist(), strict=True))
-            for a, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                edges += forest(fp[a : a + n], rep[a : a + n])
+            edges = link(f[list(values)].to_numpy().view(np.uint64), f["rep"].to_numpy(), begins, sizes)
             return pd.DataFrame(edges, columns=["src", "dst"]).drop_duplicates().astype("int64")
 
         for f in frames:
@@ -186,9 +203,19 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one for each; rows with a null id all stay."""
-    found = checkpointed(near_documents(docs, id_col, text_col, shingle_words))
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose id names their component, one for each; rows with a null id all stay.
+
+    With a ``similarity`` documents are linked by that share of common shingles at least, else by
+    the differing bits of their fingerprints.
+    """
+    if similarity is None:
+        found = near_documents(docs, id_col, text_col, shingle_words)
+    else:
+        from tallyspark.llm.wide_simhash import similar_documents
+
+        found = similar_documents(docs, similarity, id_col, text_col, shingle_words)
+    found = checkpointed(found)
     (own,) = unused(docs, "_kept")
     kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("n_rows"))
     repeated = not kept.where("n_rows > 1").isEmpty()
