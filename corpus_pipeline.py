@@ -15,6 +15,8 @@ from tallyspark.llm import mixing, packing, pii, quality, simhash
 from tallyspark.llm.entries import CAPACITY, MIX_EXPONENT, MIX_SEED, QUALITY_LEAST, table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: What near-duplicates have in common: shingles of so many words, this Jaccard similarity at least.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +26,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near-duplicates; shingles of five words."""
-    return simhash.deduplicated(docs, shingle_words=5).select(*COLUMNS)
+    """One document, the one of the smallest id, of each group linked by 0.8 or more of common five-word shingles."""
+    return simhash.deduplicated(docs, shingle_words=SHINGLE_WORDS, similarity=SIMILARITY).select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
