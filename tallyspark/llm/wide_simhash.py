@@ -176,7 +176,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
     x, y = (sets.select(F.col("doc_id").alias(end), F.col("wide").alias(f"wide_{end}"), F.col("shingles").alias(f"set_{end}")) for end in ("src", "dst"))
     both = open_pairs.join(x, ["src", "wide_src"]).join(y, ["dst", "wide_dst"])
     common = F.size(F.array_intersect("set_src", "set_dst"))
-    alike = both.where(common >= F.lit(similarity) * (F.size("set_src") + F.size("set_dst") - common))
+    alike = both.where(common / (F.size("set_src") + F.size("set_dst") - common) >= similarity)  # divided, so that a share of exactly the limit counts
     # representatives of one id are tied by it; an id that represents nothing ties the representatives of its texts
     several = known.groupBy("doc_id").agg(F.min("wide").alias("a"), F.max("wide").alias("b")).where("a <> b").select("doc_id")
     edges = pairs.where(F.col("apart") <= sure).select("src", "dst").union(alike.select("src", "dst"))
