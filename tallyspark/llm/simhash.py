@@ -24,6 +24,8 @@ LEAST_SHARED_BYTES = 8 - MOST_DIFFERING_BITS
 INDEXED = tuple(combinations(range(7), 3))
 #: A posting list of more rows than this is cut into blocks that meet in pairs.
 LIST_ROWS = 16_384
+#: Rows whose postings a task makes at a time.
+KEYED_ROWS = 512
 #: One fingerprint in so many is counted to find such lists.
 PROBE = 16
 
@@ -124,16 +126,16 @@ def posting_edges(
 ) -> DataFrame:
     """Edges ``src, dst`` between representatives that meet in a posting list.
 
-    ``reps`` has ``rep``, the longs ``values`` that postings carry, and what ``index`` makes keys
-    from, a row of them for each representative. ``link`` gets carried values (unsigned), representatives,
-    and where the lists begin and how long they are. With the defaults the edges generate all components.
+    ``reps`` has ``rep``, the longs ``values`` that postings carry, and what ``index`` makes keys of less
+    than 34 bits from, a row of them for each representative. ``link`` gets carried values (unsigned),
+    representatives, and where the lists begin and how long they are. With the defaults the edges generate all components.
     """
     ddl = "key long, rep long, " + ", ".join(f"{v} long" for v in values)
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for at in range(0, len(f), 4096):
-                g = f.iloc[at : at + 4096]
+            for at in range(0, len(f), KEYED_ROWS):
+                g = f.iloc[at : at + KEYED_ROWS]
                 keys = index(g)
                 yield pd.DataFrame({"key": keys.ravel()} | {c: np.repeat(g[c].to_numpy(), keys.shape[1]) for c in ("rep", *values)})
 
@@ -141,21 +143,20 @@ def posting_edges(
     # long lists, found in a hashed part of the fingerprints; each list is whole all the same
     probe = reps.where(F.pmod(F.xxhash64(*values), F.lit(PROBE)) == 0).mapInPandas(keyed, ddl)
     long_lists = checkpointed(probe.groupBy("key").count().where(F.col("count") > LIST_ROWS // (2 * PROBE)).select("key", F.ceil(F.col("count") * PROBE / LIST_ROWS).cast("int").alias("cuts")))
-    unit = [F.lit(0).alias("i"), F.lit(0).alias("j")]
     if not long_lists.isEmpty():
+        # a list's blocks i and j meet under a key of their own: what is left of 64 bits holds both numbers
         found = postings.join(long_lists, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-        found = found.withColumn("mine", F.pmod(F.xxhash64(*values, F.lit(5)), F.col("cuts")).cast("int"))
-        postings = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        unit = [F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")]
-    columns = ["key", "i", "j"]
-    sorted_rows = postings.select("key", *unit, "rep", *values).repartition(*columns).sortWithinPartitions(*columns, *values)
+        found = found.withColumn("mine", F.pmod(F.xxhash64(*values, F.lit(5)), F.col("cuts")))
+        found = found.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - F.lit(1).cast("long"))))
+        postings = found.withColumn("key", F.col("key") * (1 << 30) + F.least("mine", "other") * (1 << 15) + F.greatest("mine", "other"))
+    sorted_rows = postings.select("key", "rep", *values).repartition("key").sortWithinPartitions("key", *values)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
         def lists(f: pd.DataFrame) -> pd.DataFrame:
-            k = f[columns].to_numpy()
-            change = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            k = f["key"].to_numpy()
+            change = np.flatnonzero(k[1:] != k[:-1]) + 1
             begins = np.concatenate([[0], change])
             sizes = np.diff(np.concatenate([begins, [len(f)]]))
             edges = link(f[list(values)].to_numpy().view(np.uint64), f["rep"].to_numpy(), begins, sizes)
@@ -166,8 +167,8 @@ def posting_edges(
                 f = pd.concat([held, f], ignore_index=True)
             if not len(f):
                 continue
-            k = f[columns].to_numpy()
-            same = (k == k[-1]).all(axis=1)
+            k = f["key"].to_numpy()
+            same = k == k[-1]
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             held = f.iloc[cut:]
             if cut:

@@ -13,9 +13,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.shared import checkpointed, components, empty_edges
@@ -27,6 +26,8 @@ CARRIED = 2
 BITS = 64 * WORDS
 #: Threes of positional bytes: i, i + a and i + b for every position i and these a, b, whose differences are all unlike.
 STEPS = ((1, 3), (5, 12))
+#: Texts whose shingles a task holds at a time.
+BATCH_ROWS = 256
 #: Standard deviations of the number of differing bits that are allowed for.
 SPREAD = 5.0
 
@@ -114,27 +115,22 @@ def tree_links(most: float):
 
 def sketches(docs: DataFrame, shingle_words: int, with_shingles: bool = False) -> DataFrame:
     """``doc_id, wide`` of every row of ``doc_id, text`` and, on request, its distinct ``shingles``."""
-    out = pa.schema([("doc_id", pa.int64()), ("wide", pa.binary())] + ([("shingles", pa.list_(pa.int64()))] if with_shingles else []))
+    longs = pa.list_(pa.int64())
+    out = pa.schema([("doc_id", pa.int64()), ("wide", longs)] + ([("shingles", longs)] if with_shingles else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wide, sets = [], []
-            for t in batch.column(1):
-                hashes = np.unique(shingle_hashes(t.as_py(), shingle_words))
-                wide.append(wide_fingerprint(hashes))
-                if with_shingles:
-                    sets.append(hashes.view(np.int64))
-            columns = [batch.column(0), pa.array(wide, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(sets, pa.list_(pa.int64()))] if with_shingles else []), schema=out)
+        for whole in batches:
+            for at in range(0, len(whole), BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle_words)) for t in batch.column(1)]
+                columns = [batch.column(0), pa.array([np.frombuffer(wide_fingerprint(h), np.int64) for h in sets], longs)]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array([h.view(np.int64) for h in sets], longs)] if with_shingles else []), schema=out)
 
-    return docs.mapInArrow(run, "doc_id long, wide binary" + (", shingles array<long>" if with_shingles else ""))
+    return docs.mapInArrow(run, "doc_id long, wide array<long>" + (", shingles array<long>" if with_shingles else ""))
 
 
-def bits_apart(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), WORDS) for s in (a, b))
-    return pd.Series(np.bitwise_count(x ^ y).sum(axis=1).astype("int32"))
+def bits_apart(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
@@ -155,20 +151,15 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
     carried_mean, carried_deviation = differing_bits(similarity, 64 * CARRIED)
     values = tuple(f"v{i}" for i in range(CARRIED))
 
-    def carrying(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            x = np.frombuffer(b"".join(f["wide"]), np.int64).reshape(len(f), WORDS)
-            yield f.assign(**{v: x[:, i] for i, v in enumerate(values)})
-
     met = posting_edges(
-        reps.mapInPandas(carrying, "wide binary, rep long, " + ", ".join(f"{v} long" for v in values)),
+        reps.select("wide", "rep", *[F.col("wide")[i].alias(v) for i, v in enumerate(values)]),
         values,
-        lambda f: index_keys(np.frombuffer(b"".join(f["wide"]), np.uint8).reshape(len(f), 8 * WORDS)),
+        lambda f: index_keys(np.stack(f["wide"].to_list()).view(np.uint8)),
         tree_links(carried_mean + SPREAD * carried_deviation),
     )
     met = met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     a, b = (reps.select(F.col("rep").alias(end), F.col("wide").alias(f"wide_{end}")) for end in ("src", "dst"))
-    pairs = met.join(a, "src").join(b, "dst").withColumn("apart", F.pandas_udf(bits_apart, "int")("wide_src", "wide_dst")).where(F.col("apart") <= most)
+    pairs = met.join(a, "src").join(b, "dst").withColumn("apart", bits_apart("wide_src", "wide_dst")).where(F.col("apart") <= most)
     pairs = checkpointed(pairs)
     open_pairs = pairs.where(F.col("apart") > sure)
     asked = open_pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
