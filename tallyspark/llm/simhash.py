@@ -122,13 +122,14 @@ def posting_edges(
     reps: DataFrame,
     values: tuple[str, ...] = ("fp",),
     index: Callable[[pd.DataFrame], np.ndarray] = lambda f: index_keys(f["fp"].to_numpy().view(np.uint64)),
-    link: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]] = bit_links,
+    link: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]] | Iterator[np.ndarray]] = bit_links,
 ) -> DataFrame:
     """Edges ``src, dst`` between representatives that meet in a posting list.
 
     ``reps`` has ``rep``, the longs ``values`` that postings carry, and what ``index`` makes keys of less
     than 34 bits from, a row of them for each representative. ``link`` gets carried values (unsigned),
-    representatives, and where the lists begin and how long they are. With the defaults the edges generate all components.
+    representatives, and where the lists begin and how long they are; what it returns may come in pieces.
+    With the defaults the edges generate all components.
     """
     ddl = "key long, rep long, " + ", ".join(f"{v} long" for v in values)
 
@@ -154,13 +155,14 @@ def posting_edges(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
-        def lists(f: pd.DataFrame) -> pd.DataFrame:
+        def lists(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
             k = f["key"].to_numpy()
             change = np.flatnonzero(k[1:] != k[:-1]) + 1
             begins = np.concatenate([[0], change])
             sizes = np.diff(np.concatenate([begins, [len(f)]]))
             edges = link(f[list(values)].to_numpy().view(np.uint64), f["rep"].to_numpy(), begins, sizes)
-            return pd.DataFrame(edges, columns=["src", "dst"]).drop_duplicates().astype("int64")
+            for piece in [edges] if isinstance(edges, list) else edges:
+                yield pd.DataFrame(piece, columns=["src", "dst"]).drop_duplicates().astype("int64")
 
         for f in frames:
             if held is not None:
@@ -172,9 +174,9 @@ def posting_edges(
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             held = f.iloc[cut:]
             if cut:
-                yield lists(f.iloc[:cut])
+                yield from lists(f.iloc[:cut])
         if held is not None and len(held):
-            yield lists(held)
+            yield from lists(held)
 
     return sorted_rows.mapInPandas(run, "src long, dst long")
 

@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ BITS = 64 * WORDS
 STEPS = ((1, 3), (5, 12))
 #: Texts whose shingles a task holds at a time.
 BATCH_ROWS = 256
+#: Shingles, and texts, that a block of texts compared with another block has on average at most.
+BLOCK_SHINGLES, BLOCK_ROWS = 1 << 17, 256
+#: Shared shingles whose texts are multiplied at a time, and edges that are handed on at a time.
+MULTIPLIED, PIECE = 2048, 1 << 16
 #: Standard deviations of the number of differing bits that are allowed for.
 SPREAD = 5.0
 
@@ -87,7 +92,8 @@ def index_keys(wide: np.ndarray) -> np.ndarray:
 def tree_links(most: float):
     """Edges of posting lists: of each list the minimum spanning forest by the carried bits, without edges beyond ``most``.
 
-    At every threshold such a forest connects what all pairs below it connect, with one edge a row.
+    At every threshold of carried bits such a forest connects what all pairs below it connect, with
+    one edge a row. By shingles it need not: an edge that fails there may stand where a similar pair was left out.
     """
 
     def link(values: np.ndarray, rep: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -113,6 +119,84 @@ def tree_links(most: float):
     return link
 
 
+def cross_links(most: float):
+    """Edges of posting lists, in pieces: all pairs of unlike labels, the first carried value, without those beyond ``most``.
+
+    Lists are sorted by label, and rows of one label aren't compared with each other.
+    """
+
+    def link(values: np.ndarray, rep: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+        held, rows = [], 0
+        for begin, n in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            label, bits, r = values[begin : begin + n, 0], values[begin : begin + n, 1:], rep[begin : begin + n]
+            change = np.concatenate([np.flatnonzero(label[1:] != label[:-1]) + 1, [n]])
+            ends = np.repeat(change, np.diff(change, prepend=0))
+            for at in range(0, n, 64):
+                past = ends[at : at + 64, None]
+                for part in range(int(past[0, 0]), n, 4096):
+                    others = bits[part : part + 4096]
+                    d = np.bitwise_count(bits[at : at + 64, None] ^ others[None, :]).sum(axis=2, dtype=np.int64)
+                    i, j = np.nonzero((d <= most) & (np.arange(part, part + len(others)) >= past))
+                    held.append(np.stack([r[at + i], r[part + j]], axis=1))
+                    rows += len(i)
+                    if rows >= PIECE:
+                        yield np.concatenate(held)
+                        held, rows = [], 0
+        if rows:
+            yield np.concatenate(held)
+
+    return link
+
+
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles every two of the sets share, by products of the shingles that several sets have."""
+    sizes = np.array([len(x) for x in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    often = np.bincount(column) > 1
+    pick = often[column]
+    row, column = row[pick], (np.cumsum(often) - 1)[column[pick]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(often.sum()), MULTIPLIED):
+        a, b = np.searchsorted(column, [at, at + MULTIPLIED])
+        x = np.zeros((len(sets), MULTIPLIED), np.float32)
+        x[row[a:b], column[a:b] - at] = 1
+        common += x @ x.T
+    return common
+
+
+def alike_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """Those of ``pairs`` (``src, dst``) that have texts of this similarity at least, by their shingles.
+
+    Texts are dealt into blocks and two blocks meet in a task with the pairs between them, so a text of
+    very many pairs goes once to each block and not once to each pair.
+    """
+    asked = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
+    sets = checkpointed(sketches(texts.join(asked, "doc_id", "left_semi"), shingle_words, True).select("doc_id", "shingles"))
+    rows, shingles = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
+    cuts = max(1, math.ceil(rows / BLOCK_ROWS), math.ceil(shingles / BLOCK_SHINGLES))
+    one, two = (F.pmod(F.xxhash64(c), F.lit(cuts)) for c in ("src", "dst"))
+    dealt = pairs.withColumn("blocks", F.least(one, two) * cuts + F.greatest(one, two))
+    needed = dealt.select(F.col("blocks").alias("within"), F.explode(F.array("src", "dst")).alias("doc_id")).distinct().join(sets, "doc_id")
+
+    def run(ours: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(ours) or not len(found):
+            return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
+        held = found["shingles"].to_list()
+        sizes, common = np.array([len(x) for x in held]), common_shingles(held)
+        at = pd.DataFrame({"doc_id": found["doc_id"].to_numpy(), "at": np.arange(len(found))})
+        both = ours.merge(at, left_on="src", right_on="doc_id").merge(at, left_on="dst", right_on="doc_id", suffixes=("_src", "_dst"))
+        i, j = both["at_src"].to_numpy(), both["at_dst"].to_numpy()
+        shared = common[i, j]
+        either = sizes[i] + sizes[j] - shared
+        good = (either > 0) & (shared / np.maximum(either, 1) >= similarity)
+        return both.loc[good, ["src", "dst"]].drop_duplicates()
+
+    return dealt.groupBy("blocks").cogroup(needed.groupBy("within")).applyInPandas(run, "src long, dst long")
+
+
 def sketches(docs: DataFrame, shingle_words: int, with_shingles: bool = False) -> DataFrame:
     """``doc_id, wide`` of every row of ``doc_id, text`` and, on request, its distinct ``shingles``."""
     longs = pa.list_(pa.int64())
@@ -139,7 +223,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
     Documents are linked when their sets of shingles have a Jaccard similarity of ``similarity`` at
     least; equal sets, texts without words among them, are one representative, their smallest id.
     Pairs far below or above the expected number of differing bits are decided by it, all others
-    by their shingles. A row with a null id has no component and links with nothing; rows of one id
+    by their shingles. First only a forest of each posting list is tested; where that leaves parts of
+    a list apart, every pair between the parts that meets in a list is. A row with a null id has no component and links with nothing; rows of one id
     are one document with each of its texts.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -157,7 +242,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
         lambda f: index_keys(np.stack(f["wide"].to_list()).view(np.uint8)),
         tree_links(carried_mean + SPREAD * carried_deviation),
     )
-    met = met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    met = checkpointed(met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     a, b = (reps.select(F.col("rep").alias(end), F.col("wide").alias(f"wide_{end}")) for end in ("src", "dst"))
     pairs = met.join(a, "src").join(b, "dst").withColumn("apart", bits_apart("wide_src", "wide_dst")).where(F.col("apart") <= most)
     pairs = checkpointed(pairs)
@@ -175,5 +260,26 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
         edges = edges.union(known.join(several, "doc_id").join(reps, "wide").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst")))
     edges = checkpointed(edges.distinct())
     whole = components(edges) if not edges.isEmpty() else empty_edges(docs.sparkSession).toDF("node", "component_id")
+    # what a forest left out: a list of three or more, not all of one component, has an edge that failed from each of them to another
+    label = reps.select("rep").distinct().join(whole, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component_id", "rep").alias("label"))
+    degree = met.groupBy("src").count().union(met.groupBy("dst").count()).groupBy(F.col("src").alias("rep")).agg(F.sum("count").alias("n"))
+    degree = checkpointed(degree.join(label, "rep"))
+    failed = met.join(edges, ["src", "dst"], "left_anti")
+    for end in ("src", "dst"):
+        failed = failed.join(degree.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("label").alias(f"label_{end}")), end)
+    failed = checkpointed(failed.where("label_src <> label_dst and (n_src > 1 or n_dst > 1)").select("label_src", "label_dst").distinct())
+    apart = failed.select(F.col("label_src").alias("label")).union(failed.select("label_dst")).distinct()
+    left = degree.join(apart, "label", "left_semi").select("rep", "label")
+    if not failed.isEmpty():
+        again = posting_edges(
+            checkpointed(reps.join(left, "rep").select("wide", "rep", "label", *[F.col("wide")[i].alias(v) for i, v in enumerate(values)])),
+            ("label", *values),
+            lambda f: index_keys(np.stack(f["wide"].to_list()).view(np.uint8)),
+            cross_links(carried_mean + SPREAD * carried_deviation),
+        )
+        again = checkpointed(again.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+        more = checkpointed(alike_pairs(again, texts, similarity, shingle_words))
+        if not more.isEmpty():
+            whole = components(edges.union(more))
     named = reps.join(whole, reps["rep"] == whole["node"], "left").select(F.col("wide").alias("_wide"), F.coalesce("component_id", "rep").alias("component_id"))
     return known.join(named, known["wide"] == named["_wide"]).select("doc_id", "component_id").union(prints.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id")))

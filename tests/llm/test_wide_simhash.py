@@ -91,3 +91,39 @@ def test_trees_connect_what_pairs_connect():
 def test_expected_bits():
     mean, deviation = wide_simhash.differing_bits(0.8, 768)
     assert math.isclose(mean, 116.3, abs_tol=0.5) and 9 < deviation < 11
+
+
+def test_pairs_inside_a_group_of_a_common_template(spark):
+    """Thousands of texts at about 0.7 of each other, and among them pairs at 0.8 and more."""
+    rng = np.random.default_rng(21)
+    template = [f"t{k}" for k in range(300)]
+
+    def member():
+        text = list(template)
+        for k in range(5):
+            text[10 + 58 * k + int(rng.integers(0, 40))] = f"x{rng.integers(0, 1 << 40)}"
+        return text
+
+    def partner(text):
+        out = list(text)
+        for k in (5, 55, 113, 171, 229, 287):  # outside the members' places
+            out[k] = f"y{rng.integers(0, 1 << 40)}"
+        return out
+
+    rows = [member() for _ in range(2000)]
+    rows += [partner(rows[k]) for k in range(0, 2000, 20)]
+    hashes = [np.unique(shingle_hashes(" ".join(r), 5)) for r in rows]
+    _, column = np.unique(np.concatenate(hashes), return_inverse=True)
+    sizes = np.array([len(h) for h in hashes])
+    has = np.zeros((len(rows), column.max() + 1), np.float32)
+    has[np.repeat(np.arange(len(rows)), sizes), column] = 1
+    common = has @ has.T
+    share = common / (sizes[:, None] + sizes - common)
+    assert 0.65 < np.median(share[:2000, :2000]) < 0.75 and all(share[k, 2000 + n] >= 0.8 for n, k in enumerate(range(0, 2000, 20)))
+    links = [(int(i), int(j)) for i, j in np.argwhere(share >= 0.8) if i < j]
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    low = {r["doc_id"]: r["component_id"] for r in similar_documents(df).collect()}
+    whole = closure(range(len(rows)), links)
+    assert all(whole[i] == whole[c] for i, c in low.items())  # nothing is joined that has no links
+    joined = sum(low[i] == low[j] for i, j in links)
+    assert joined >= 0.95 * len(links), (joined, len(links))
