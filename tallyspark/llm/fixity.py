@@ -51,25 +51,43 @@ def laid_out(records: DataFrame, file: Column, order: list[str], content: Column
     )
 
 
-def replica_leaves(catalogue: DataFrame, replica: DataFrame, content: Column, id_col: str) -> DataFrame:
-    """Leaves of a replica at the places of the catalogue; a record that it lacks has an empty hash.
+def paired(catalogue: DataFrame, replica: DataFrame, content: Column, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Leaves of a replica at the places of the catalogue, and the replica's records that have no place there.
 
-    A replica with several records of one id is read by the smallest hash. ``catalogue`` keeps its layout.
+    Records of one id, or of none, pair by equal content first and then by their place among what is
+    left. A place without a record has an empty hash and no length. A replica has no places of its own,
+    so a record that only moved is as good as unmoved.
     """
-    found = replica.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(F.sha2(content.cast("binary"), 256)).alias("_hash"))
-    return catalogue.join(found, F.col("record_id") == F.col("_id"), "left").select("file", "ordinal", "record_id", "offset", "length", F.coalesce("_hash", F.lit("")).alias("hash"))
+    theirs = replica.select(
+        F.col(id_col).cast("long").alias("record_id"), F.octet_length(content).cast("long").alias("length"), F.sha2(content.cast("binary"), 256).alias("hash"), F.lit(1).alias("side")
+    )
+    both = catalogue.withColumn("side", F.lit(0)).unionByName(theirs, allowMissingColumns=True)
+    alike, own = Window.partitionBy("record_id", "hash"), Window.partitionBy("record_id")
+    both = both.withColumn("copy", F.row_number().over(Window.partitionBy("record_id", "hash", "side").orderBy("file", "ordinal")))
+    both = both.withColumn("here", F.sum("side").over(alike)).withColumn("there", F.sum(1 - F.col("side")).over(alike)).withColumn("listed", F.sum(1 - F.col("side")).over(own) > 0)
+    both = both.withColumn("open", F.col("copy") > F.when(F.col("side") == 0, F.col("here")).otherwise(F.col("there")))
+    both = both.withColumn("place", F.row_number().over(Window.partitionBy("record_id", "side", "open").orderBy("file", "ordinal", "hash")))
+    both = checkpointed(both)
+    places = both.where("side = 0")
+    rest = both.where("side = 1 and open").select(F.col("record_id").alias("_id"), F.col("place").alias("_place"), F.col("length").alias("_length"), F.col("hash").alias("_hash"), "listed")
+    on = F.col("record_id").eqNullSafe(F.col("_id")) & (F.col("place") == F.col("_place"))
+    columns = ["file", "ordinal", "record_id", "offset"]
+    filled = places.where("open").drop("listed").join(rest, on, "left").select(*columns, F.coalesce("_length", F.lit(0)).alias("length"), F.coalesce("_hash", F.lit("")).alias("hash"))
+    surplus = rest.join(places.where("open").select("record_id", "place"), on, "left_anti")
+    return places.where("not open").select(*columns, "length", "hash").union(filled), surplus.select(F.col("_id").alias("record_id"), F.col("_length").alias("length"), F.col("_hash").alias("hash"), "listed")
 
 
 def parents(nodes: DataFrame, key: str) -> DataFrame:
-    """The level above: hashes of up to FANOUT neighbours in order, hashed; ranges joined."""
+    """The level above: ranges and hashes of up to FANOUT neighbours in order, hashed; ranges joined."""
     group = ["file", F.floor(F.col(key) / FANOUT).alias("up")] if key == "ordinal" else [F.floor(F.col(key) / FANOUT).alias("up")]
-    up = nodes.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(key), "hash"))).alias("below"))
-    return up.select(*(["file"] if key == "ordinal" else []), F.col("up").alias(key), F.sha2(F.concat_ws("", F.col("below.hash")), 256).alias("hash"))
+    child = F.concat_ws(" ", F.col("start").cast("string"), F.col("end").cast("string"), "hash")
+    up = nodes.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(key), child.alias("child")))).alias("below"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return up.select(*(["file"] if key == "ordinal" else []), F.col("up").alias(key), "start", "end", F.sha2(F.concat_ws("\n", F.col("below.child")), 256).alias("hash"))
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:
     """Levels from the leaves to one root: first within each file, then over the files in order."""
-    levels = [leaves.select("file", "ordinal", "hash")]
+    levels = [leaves.select("file", "ordinal", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "hash")]
     top = leaves.agg(F.max("ordinal"), F.max("file"), F.min("file")).first()
     if top[0] is None:
         return levels
@@ -77,7 +95,7 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
     while most > 0:
         levels.append(parents(levels[-1], "ordinal"))
         most //= FANOUT
-    roots = levels[-1].select("file", "hash")
+    roots = levels[-1].select("file", "start", "end", "hash")
     most = top[1] - top[2]
     roots = roots.withColumn("file", F.col("file") - F.lit(top[2]))
     levels.append(roots)
@@ -102,7 +120,7 @@ def mismatches(left: DataFrame, right: DataFrame) -> tuple[DataFrame, int]:
     open_nodes, compared = None, 0
     for level in range(len(ours) - 1, -1, -1):
         keys = ["file", "ordinal"] if level < inner else ["file"]
-        x, y = ours[level], theirs[level].withColumnRenamed("hash", "replica_hash")
+        x, y = ours[level], theirs[level].select(*keys, F.col("hash").alias("replica_hash"))
         if open_nodes is not None:
             # the nodes below what differed one level up; a file's root changes its name on the way into the file
             if level == inner - 1:
@@ -126,9 +144,14 @@ def mismatches(left: DataFrame, right: DataFrame) -> tuple[DataFrame, int]:
 
 
 def audit(catalogue: DataFrame, replica: DataFrame, content: Column, id_col: str) -> DataFrame:
-    """Damaged records: ``file, record_id, offset, length, expected_hash, found_hash, status`` (missing or altered)."""
-    bad, _ = mismatches(catalogue, replica_leaves(catalogue, replica, content, id_col))
-    return bad.select(
+    """Damaged records: ``file, record_id, offset, length, expected_hash, found_hash, status``.
+
+    The status is missing, altered, repeated (a further record of an id of the catalogue) or surplus
+    (an id that it lacks). The last two have no file and offset, and an empty expected hash.
+    """
+    found, surplus = paired(catalogue, replica, content, id_col)
+    bad, _ = mismatches(catalogue, found)
+    bad = bad.select(
         "file",
         "record_id",
         "offset",
@@ -137,3 +160,6 @@ def audit(catalogue: DataFrame, replica: DataFrame, content: Column, id_col: str
         F.col("replica_hash").alias("found_hash"),
         F.when(F.col("replica_hash") == "", "missing").otherwise("altered").alias("status"),
     )
+    nowhere = F.lit(None).cast("long")
+    status = F.when(F.col("listed"), "repeated").otherwise("surplus")
+    return bad.union(surplus.select(nowhere, "record_id", nowhere, "length", F.lit(""), "hash", status))

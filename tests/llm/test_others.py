@@ -56,6 +56,25 @@ def test_audit_finds_exactly_the_damage(spark, n):
         at += len(b or "")
 
 
+def test_audit_pairs_repeated_records_and_finds_surplus(spark):
+    rows = [(1, "a", ""), (1, "b", ""), (1, "b", ""), (2, "c", ""), (None, "n", "")]
+    df, catalogue = leaf_rows(spark, rows)
+    body = F.coalesce("body", F.lit(""))
+    assert fixity.audit(catalogue, df, body, "id").count() == 0
+    replica = [(1, "a", ""), (1, "z", ""), (1, "b", ""), (2, "c", ""), (2, "d", ""), (9, "e", ""), (None, "n", ""), (None, "m", "")]
+    got = fixity.audit(catalogue, spark.createDataFrame(replica, df.schema), body, "id").collect()
+    sha = lambda x: x and hashlib.sha256(x.encode()).hexdigest()
+    want = {(1, sha("b"), sha("z"), "altered"), (2, "", sha("d"), "repeated"), (9, "", sha("e"), "surplus"), (None, "", sha("m"), "repeated")}
+    assert {(r["record_id"], r["expected_hash"], r["found_hash"], r["status"]) for r in got} == want and len(got) == 4
+
+
+def test_nodes_hash_the_ranges_of_their_children(spark):
+    _, leaves = leaf_rows(spark, [(i, str(i), "") for i in range(5)])
+    shifted = leaves.withColumn("offset", F.col("offset") + (F.col("ordinal") == 3).cast("long"))
+    tops = [fixity.tree(x)[-1].first()["hash"] for x in (leaves, shifted)]
+    assert tops[0] != tops[1]
+
+
 def test_equal_replicas_end_at_the_root(spark):
     _, catalogue = leaf_rows(spark, [(i, str(i), "") for i in range(300)])
     bad, compared = fixity.mismatches(catalogue, catalogue)
