@@ -4,7 +4,7 @@ Documents that share 0.8 of their shingles differ in some 15 of 100 SimHash bits
 64-bit fingerprint guarantees no common byte. A wider one has more positional bytes: at 0.8 each
 is equal with a probability of 0.27, and a posting list for each of 192 threes of them, no two
 threes sharing more than one position, brings a pair together with a probability of 0.97 (0.99
-from 0.83). What meets is tallied and compared by bits, and what bits can't tell by the shingles.
+from 0.83, less in a large group). What meets is not counted by shared bytes but compared by bits, and what bits can't tell by the shingles.
 """
 
 from __future__ import annotations
