@@ -4,7 +4,8 @@ Documents that share 0.8 of their shingles differ in some 15 of 100 SimHash bits
 64-bit fingerprint guarantees no common byte. A wider one has more positional bytes: at 0.8 each
 is equal with a probability of 0.27, and a posting list for each of 192 threes of them, no two
 threes sharing more than one position, brings a pair together with a probability of 0.97 (0.99
-from 0.83, less in a large group). What meets is not counted by shared bytes but compared by bits, and what bits can't tell by the shingles.
+from 0.83, less in a large group). Of what meets the shared positional bytes are counted: pairs that
+reach the minimum are compared by bits, and what bits can't tell by the shingles.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ STEPS = ((1, 3), (5, 12))
 #: Texts whose shingles a task holds at a time.
 BATCH_ROWS = 256
 #: Shingles, and texts, that a block of texts compared with another block has on average at most.
-BLOCK_SHINGLES, BLOCK_ROWS = 1 << 17, 256
-#: Shared shingles whose texts are multiplied at a time, and edges that are handed on at a time.
-MULTIPLIED, PIECE = 2048, 1 << 16
+BLOCK_SHINGLES, BLOCK_ROWS = 1 << 18, 512
+#: Shared shingles whose texts are multiplied at a time.
+MULTIPLIED = 2048
 #: Standard deviations of the number of differing bits that are allowed for.
 SPREAD = 5.0
 
@@ -119,82 +120,100 @@ def tree_links(most: float):
     return link
 
 
-def cross_links(most: float):
-    """Edges of posting lists, in pieces: all pairs of unlike labels, the first carried value, without those beyond ``most``.
-
-    Lists are sorted by label, and rows of one label aren't compared with each other.
-    """
-
-    def link(values: np.ndarray, rep: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
-        held, rows = [], 0
-        for begin, n in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            label, bits, r = values[begin : begin + n, 0], values[begin : begin + n, 1:], rep[begin : begin + n]
-            change = np.concatenate([np.flatnonzero(label[1:] != label[:-1]) + 1, [n]])
-            ends = np.repeat(change, np.diff(change, prepend=0))
-            for at in range(0, n, 64):
-                past = ends[at : at + 64, None]
-                for part in range(int(past[0, 0]), n, 4096):
-                    others = bits[part : part + 4096]
-                    d = np.bitwise_count(bits[at : at + 64, None] ^ others[None, :]).sum(axis=2, dtype=np.int64)
-                    i, j = np.nonzero((d <= most) & (np.arange(part, part + len(others)) >= past))
-                    held.append(np.stack([r[at + i], r[part + j]], axis=1))
-                    rows += len(i)
-                    if rows >= PIECE:
-                        yield np.concatenate(held)
-                        held, rows = [], 0
-        if rows:
-            yield np.concatenate(held)
-
-    return link
-
-
-def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
-    """How many shingles every two of the sets share, by products of the shingles that several sets have."""
-    sizes = np.array([len(x) for x in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    often = np.bincount(column) > 1
-    pick = often[column]
-    row, column = row[pick], (np.cumsum(often) - 1)[column[pick]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common = np.zeros((len(sets), len(sets)))
-    for at in range(0, int(often.sum()), MULTIPLIED):
-        a, b = np.searchsorted(column, [at, at + MULTIPLIED])
-        x = np.zeros((len(sets), MULTIPLIED), np.float32)
-        x[row[a:b], column[a:b] - at] = 1
-        common += x @ x.T
+def common_shingles(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each of ``b``, by products of the columns that both sides have."""
+    column = np.unique(np.concatenate([*a, *b]), return_inverse=True)[1]
+    cut = sum(map(len, a))
+    both = np.zeros(column.max() + 1 if len(column) else 0, bool)
+    both[column[:cut]] = True
+    shared = np.zeros_like(both)
+    shared[column[cut:]] = True
+    shared &= both
+    number = np.cumsum(shared) - 1
+    sides = []
+    for sets, columns in ((a, column[:cut]), (b, column[cut:])):
+        row, pick = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), shared[columns]
+        row, columns = row[pick], number[columns[pick]]
+        order = np.argsort(columns, kind="stable")
+        sides.append((len(sets), row[order], columns[order]))
+    common = np.zeros((len(a), len(b)))
+    for at in range(0, int(shared.sum()), MULTIPLIED):
+        matrices = []
+        for n, row, columns in sides:
+            i, j = np.searchsorted(columns, [at, at + MULTIPLIED])
+            x = np.zeros((n, MULTIPLIED), np.float32)
+            x[row[i:j], columns[i:j] - at] = 1
+            matrices.append(x)
+        common += matrices[0] @ matrices[1].T
     return common
 
 
-def alike_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """Those of ``pairs`` (``src, dst``) that have texts of this similarity at least, by their shingles.
-
-    Texts are dealt into blocks and two blocks meet in a task with the pairs between them, so a text of
-    very many pairs goes once to each block and not once to each pair.
+def label_links(a: pd.DataFrame, b: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect the labels of rows of ``a`` and ``b`` (``label, shingles``) between which there is a similar pair: a forest of them."""
+    common = common_shingles(a["shingles"].to_list(), b["shingles"].to_list())
+    sizes = [np.array([len(x) for x in f["shingles"]]) for f in (a, b)]
+    labels = [f["label"].to_numpy() for f in (a, b)]
+    either = sizes[0][:, None] + sizes[1][None, :] - common
+    i, j = np.nonzero((common / np.maximum(either, 1) >= similarity) & (labels[0][:, None] != labels[1][None, :]))
+    root: dict[int, int] = {}
+
+    def top(n: int) -> int:
+        while root.get(n, n) != n:
+            root[n] = n = root.get(root[n], root[n])
+        return n
+
+    edges = []
+    for x, y in np.unique(np.sort(np.stack([labels[0][i], labels[1][j]], axis=1), axis=1), axis=0).tolist():
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            edges.append((x, y))
+    return edges
+
+
+def left_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges between labels of one cluster that have similar texts: ``src, dst``.
+
+    ``members`` has ``cluster, label, rep, wide``, ``sets`` the shingles of each. All pairs of unlike
+    labels of a cluster are tested. Small clusters are dealt many to a task. Of a large one the rows of
+    its commonest label and all other rows are cut into blocks of a bounded size, and two blocks meet
+    in a task of their own unless both are of that label; no pair leaves a task but as a label's edge.
     """
-    asked = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    sets = checkpointed(sketches(texts.join(asked, "doc_id", "left_semi"), shingle_words, True).select("doc_id", "shingles"))
-    rows, shingles = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
-    cuts = max(1, math.ceil(rows / BLOCK_ROWS), math.ceil(shingles / BLOCK_SHINGLES))
-    one, two = (F.pmod(F.xxhash64(c), F.lit(cuts)) for c in ("src", "dst"))
-    dealt = pairs.withColumn("blocks", F.least(one, two) * cuts + F.greatest(one, two))
-    needed = dealt.select(F.col("blocks").alias("within"), F.explode(F.array("src", "dst")).alias("doc_id")).distinct().join(sets, "doc_id")
-
-    def run(ours: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(ours) or not len(found):
-            return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
-        held = found["shingles"].to_list()
-        sizes, common = np.array([len(x) for x in held]), common_shingles(held)
-        at = pd.DataFrame({"doc_id": found["doc_id"].to_numpy(), "at": np.arange(len(found))})
-        both = ours.merge(at, left_on="src", right_on="doc_id").merge(at, left_on="dst", right_on="doc_id", suffixes=("_src", "_dst"))
-        i, j = both["at_src"].to_numpy(), both["at_dst"].to_numpy()
-        shared = common[i, j]
-        either = sizes[i] + sizes[j] - shared
-        good = (either > 0) & (shared / np.maximum(either, 1) >= similarity)
-        return both.loc[good, ["src", "dst"]].drop_duplicates()
-
-    return dealt.groupBy("blocks").cogroup(needed.groupBy("within")).applyInPandas(run, "src long, dst long")
+    rows = members.join(sets, [members["rep"] == sets["doc_id"], members["wide"] == sets["_wide"]]).select("cluster", "label", "rep", "shingles", F.size("shingles").alias("n"))
+    rows = checkpointed(rows)
+    by_label = rows.groupBy("cluster", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    shape = by_label.groupBy("cluster").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("rows", "n", "label")).alias("most"))
+
+    def blocks(rows: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
+
+    small = (F.col("rows") <= BLOCK_ROWS) & (F.col("n") <= BLOCK_SHINGLES)
+    shape = shape.where("rows > 2").select(
+        F.col("cluster").alias("_cluster"),
+        small.alias("small"),
+        F.when(small, F.lit(None)).otherwise(F.col("most.label")).alias("most"),
+        F.when(small, F.lit(0)).otherwise(blocks(F.col("most.rows"), F.col("most.n"))).cast("long").alias("own"),
+        F.when(small, F.lit(1)).otherwise(blocks(F.col("rows") - F.col("most.rows"), F.col("n") - F.col("most.n"))).cast("long").alias("other"),
+    )
+    tasks = max(1, math.ceil((rows.agg(F.sum("n")).first()[0] or 0) / BLOCK_SHINGLES))
+    dealt = rows.join(shape, F.col("cluster") == F.col("_cluster")).withColumn("place", F.xxhash64("rep", F.size("shingles")))
+    common_label = F.coalesce(F.col("label") == F.col("most"), F.lit(False))
+    dealt = dealt.withColumn("block", F.when(common_label, F.pmod("place", "own")).otherwise(F.col("own") + F.pmod("place", "other")))
+    partners = F.sequence(F.when(common_label, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("other") - 1)
+    dealt = dealt.withColumn("partner", F.explode(partners))
+    lo, hi = F.least("block", "partner"), F.greatest("block", "partner")
+    task = F.when(F.col("small"), F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.xxhash64("cluster", lo, hi))
+    dealt = dealt.select(task.alias("task"), "cluster", lo.alias("lo"), hi.alias("hi"), "block", "label", "shingles")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        edges = []
+        for (_, lo, hi), g in f.groupby(["cluster", "lo", "hi"], sort=False):
+            a, b = g[g["block"] == lo], g[g["block"] == hi]
+            if len(a) and len(b):
+                edges += label_links(a, b, similarity)
+        return pd.DataFrame(edges, columns=["src", "dst"]).astype("int64")
+
+    return dealt.groupBy("task").applyInPandas(run, "src long, dst long").distinct()
 
 
 def sketches(docs: DataFrame, shingle_words: int, with_shingles: bool = False) -> DataFrame:
@@ -217,15 +236,35 @@ def bits_apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
+def shared_bytes(a: str, b: str) -> Column:
+    """How many positional bytes two fingerprints have in common: of each differing byte the lowest bit is set, and these are counted."""
+
+    def unlike(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        for shift in (1, 2, 4):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
+        return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return F.lit(8 * WORDS) - F.aggregate(F.zip_with(a, b, unlike), F.lit(0), lambda n, x: n + x)
+
+
+def least_shared_bytes(similarity: float) -> int:
+    """Positional bytes that two sets of this similarity share at least, but for SPREAD deviations."""
+    n = BITS // 8
+    p = (1 - differing_bits(similarity, 1)[0]) ** 8
+    return max(3, math.ceil(n * p - SPREAD * math.sqrt(n * p * (1 - p))))
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
     """``doc_id, component_id`` of every row.
 
     Documents are linked when their sets of shingles have a Jaccard similarity of ``similarity`` at
     least; equal sets, texts without words among them, are one representative, their smallest id.
-    Pairs far below or above the expected number of differing bits are decided by it, all others
-    by their shingles. First only a forest of each posting list is tested; where that leaves parts of
-    a list apart, every pair between the parts that meets in a list is. A row with a null id has no component and links with nothing; rows of one id
-    are one document with each of its texts.
+    Pairs that meet in a posting list are retained if they share enough positional bytes. Those far below or above the expected number of differing bits are decided by it, all others
+    by their shingles. First only a forest of each posting list is tested. The groups that this
+    leaves beside each other, joined by edges that failed, make a cluster, and then every pair of
+    texts of a cluster's unlike groups is tested by its shingles. A row with a null id has no component and
+    links with nothing; rows of one id are one document with each of its texts.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = checkpointed(sketches(texts, shingle_words))
@@ -244,7 +283,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
     )
     met = checkpointed(met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     a, b = (reps.select(F.col("rep").alias(end), F.col("wide").alias(f"wide_{end}")) for end in ("src", "dst"))
-    pairs = met.join(a, "src").join(b, "dst").withColumn("apart", bits_apart("wide_src", "wide_dst")).where(F.col("apart") <= most)
+    pairs = met.join(a, "src").join(b, "dst").where(shared_bytes("wide_src", "wide_dst") >= least_shared_bytes(similarity))
+    pairs = pairs.withColumn("apart", bits_apart("wide_src", "wide_dst")).where(F.col("apart") <= most)
     pairs = checkpointed(pairs)
     open_pairs = pairs.where(F.col("apart") > sure)
     asked = open_pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
@@ -260,25 +300,21 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
         edges = edges.union(known.join(several, "doc_id").join(reps, "wide").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst")))
     edges = checkpointed(edges.distinct())
     whole = components(edges) if not edges.isEmpty() else empty_edges(docs.sparkSession).toDF("node", "component_id")
-    # what a forest left out: a list of three or more, not all of one component, has an edge that failed from each of them to another
-    label = reps.select("rep").distinct().join(whole, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component_id", "rep").alias("label"))
-    degree = met.groupBy("src").count().union(met.groupBy("dst").count()).groupBy(F.col("src").alias("rep")).agg(F.sum("count").alias("n"))
-    degree = checkpointed(degree.join(label, "rep"))
+    # what a forest left out: a similar pair of unlike labels that meets in a list is joined by edges of its forest, so by edges that failed
+    label = checkpointed(reps.join(whole, F.col("rep") == F.col("node"), "left").select("wide", "rep", F.coalesce("component_id", "rep").alias("label")))
+    of_rep = label.select("rep", "label").distinct()
     failed = met.join(edges, ["src", "dst"], "left_anti")
     for end in ("src", "dst"):
-        failed = failed.join(degree.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("label").alias(f"label_{end}")), end)
-    failed = checkpointed(failed.where("label_src <> label_dst and (n_src > 1 or n_dst > 1)").select("label_src", "label_dst").distinct())
-    apart = failed.select(F.col("label_src").alias("label")).union(failed.select("label_dst")).distinct()
-    left = degree.join(apart, "label", "left_semi").select("rep", "label")
+        failed = failed.join(of_rep.select(F.col("rep").alias(end), F.col("label").alias(f"label_{end}")), end)
+    failed = checkpointed(failed.where("label_src <> label_dst").select(F.col("label_src").alias("src"), F.col("label_dst").alias("dst")).distinct())
     if not failed.isEmpty():
-        again = posting_edges(
-            checkpointed(reps.join(left, "rep").select("wide", "rep", "label", *[F.col("wide")[i].alias(v) for i, v in enumerate(values)])),
-            ("label", *values),
-            lambda f: index_keys(np.stack(f["wide"].to_list()).view(np.uint8)),
-            cross_links(carried_mean + SPREAD * carried_deviation),
-        )
-        again = checkpointed(again.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-        more = checkpointed(alike_pairs(again, texts, similarity, shingle_words))
+        clusters = components(failed).select(F.col("node").alias("_label"), F.col("component_id").alias("cluster"))
+        members = checkpointed(label.join(clusters, F.col("label") == F.col("_label")).select("cluster", "label", "rep", "wide"))
+        full = members.groupBy("cluster").count().where("count > 2").select("cluster")  # of two the pair is tested
+        members = members.join(full, "cluster", "left_semi")
+        left = sketches(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle_words, True)
+        left = left.dropDuplicates(["doc_id", "wide"]).withColumnRenamed("wide", "_wide")
+        more = checkpointed(left_links(members, left, similarity))
         if not more.isEmpty():
             whole = components(edges.union(more))
     named = reps.join(whole, reps["rep"] == whole["node"], "left").select(F.col("wide").alias("_wide"), F.coalesce("component_id", "rep").alias("component_id"))

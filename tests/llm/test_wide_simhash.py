@@ -93,8 +93,30 @@ def test_expected_bits():
     assert math.isclose(mean, 116.3, abs_tol=0.5) and 9 < deviation < 11
 
 
-def test_pairs_inside_a_group_of_a_common_template(spark):
+def test_common_shingles_equal_intersections(monkeypatch):
+    monkeypatch.setattr(wide_simhash, "MULTIPLIED", 7)
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.int64)) for n in (0, 1, 5, 30, 60, 12)]
+    got = wide_simhash.common_shingles(sets, sets[2:])
+    assert (got == [[len(np.intersect1d(x, y)) for y in sets[2:]] for x in sets]).all()
+    assert wide_simhash.common_shingles(sets[:1], sets[:1]).tolist() == [[0]]
+
+
+def test_shared_bytes_are_counted(spark):
+    rng = np.random.default_rng(10)
+    a = rng.integers(0, 256, (50, 8 * wide_simhash.WORDS), dtype=np.uint8)
+    b = np.where(rng.random(a.shape) < 0.4, a, rng.integers(0, 256, a.shape, dtype=np.uint8))
+    rows = [(x.view(np.int64).tolist(), y.view(np.int64).tolist(), int((x == y).sum())) for x, y in zip(a, b)]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, n int")
+    assert df.where(wide_simhash.shared_bytes("a", "b") != df.n).count() == 0
+    assert 3 <= wide_simhash.least_shared_bytes(0.8) < 10
+
+
+@pytest.mark.parametrize("block", [512, 64])
+def test_pairs_inside_a_group_of_a_common_template(spark, monkeypatch, block):
     """Thousands of texts at about 0.7 of each other, and among them pairs at 0.8 and more."""
+    monkeypatch.setattr(wide_simhash, "BLOCK_ROWS", block * 8)
+    monkeypatch.setattr(wide_simhash, "BLOCK_SHINGLES", block << 9)
     rng = np.random.default_rng(21)
     template = [f"t{k}" for k in range(300)]
 
