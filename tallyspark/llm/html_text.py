@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 #: Lines in a window, and how much text a window needs where nothing else marks the article.
 WINDOW = 3
 SURGE_CHARS = 86
+#: A line weighs nothing from this share of it in links.
+LINK_SHARE = 0.8
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -21,6 +25,7 @@ RAW = frozenset("script style textarea title xmp noembed noframes".split())
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe object svg canvas select button dialog menu title textarea audio video xmp noembed noframes head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd ul ol dl pre blockquote figure figcaption table caption thead tbody tfoot tr td th address hr option".split())
 ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _HINT = re.compile(
     r"(?:(?:site|page|main|top|global|left|right|cookie|user|reader|post|article)[-_])?"
@@ -37,43 +42,86 @@ def attributes(tag: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(tag, at.end() if at else 1)}
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool, float]], bool]:
-    """Lines (text, whether in the article, share of it in links) with markup stripped; whether an article was marked.
+@dataclass(frozen=True)
+class Line:
+    """Text of a block, how much of it isn't in links, the box that holds it, and whether that lies in a marked article; gaps are empty."""
 
-    A block element ends a line. What stands in dropped elements leaves WINDOW empty lines, as
-    does the edge of the article.
+    text: str
+    weight: int
+    box: int
+    inside: bool
+
+
+GAP = [Line("", 0, 0, False)] * WINDOW
+
+
+@dataclass
+class Open:
+    """An open element; ``box`` is its number if it can hold blocks, else 0."""
+
+    name: str
+    dropped: bool
+    article: bool
+    box: int
+    has_blocks: bool = False
+
+
+def lines_of(page: str, marks: bool = True) -> tuple[list[Line], list[int]]:
+    """Lines with markup stripped, and for each box the box around it; box 0 is the page.
+
+    A block element ends a line. Its box is the nearest element around it that holds blocks, so text
+    right in an element without blocks counts as a paragraph of the element around. Where the box
+    changes, and where dropped elements stood, there is a gap of WINDOW empty lines. Without
+    ``marks``, articles and what names and roles say are passed over.
     """
-    out: list[tuple[str, bool, float]] = []
+    out: list[Line] = []
+    around = [0]
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, whether dropped, whether an article
+    stack: list[Open] = []
+    boxes: list[Open] = []  # those of the stack that have a box; all but the last hold blocks
+    open_names: Counter[str] = Counter()
     dropped = articles = links = 0
-    marked = False
+    last_box = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, last_box
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                out.append((text, articles > 0, min(1.0, linked / len(text))))
+                box = next((o.box for o in reversed(boxes) if o.has_blocks), 0)
+                if box != last_box:
+                    out.extend(GAP)
+                    last_box = box
+                out.append(Line(text, 0 if linked >= LINK_SHARE * len(text) else len(text) - linked, box, articles > 0))
             parts.clear()
         linked = 0
 
-    def gap() -> None:
-        out.extend([("", False, 0.0)] * WINDOW)
-
     def pop() -> None:
         nonlocal dropped, articles, links
-        name, was_dropped, was_article = stack.pop()
-        if name == "a":
-            links -= 1
-        if was_dropped:
+        top = stack.pop()
+        open_names[top.name] -= 1
+        if top.box:
+            boxes.pop()
+        links -= top.name == "a"
+        if top.dropped:
             dropped -= 1
             if not dropped:
-                gap()
-        if was_article:
+                out.extend(GAP)
+        if top.article:
             flush()
             articles -= 1
-            gap()
+            out.extend(GAP)
+
+    def close(names: tuple[str, ...], until: Callable[[str], bool]) -> None:
+        """Close the innermost open element of these names unless another one that ends the search is further in."""
+        if any(open_names[n] for n in names):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].name in names:
+                    while len(stack) > k:
+                        pop()
+                    break
+                if until(stack[k].name):
+                    break
 
     i, n = 0, len(page)
     tags_end = page.rfind(">")
@@ -101,40 +149,28 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, float]], bool]:
         block = name not in INLINE
         if name == "br" and not dropped:
             parts.append(" ")
-        if block and not dropped:
-            flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    while len(stack) > k:
-                        pop()
-                    break
+            if block and not dropped:
+                flush()
+            close((name,), lambda _: False)
             continue
-        if name in ENDS_P and stack:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if block:
+            if boxes and name not in VOID:
+                boxes[-1].has_blocks = True
+            if not dropped:
+                flush()
+        if name in ENDS_P:
+            close(("p",), lambda x: x not in INLINE)
         if name in ITEMS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name or (name in ("dt", "dd") and stack[k][0] in ("dt", "dd")):
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in ITEMS[name]:
-                    break
+            close(("dt", "dd") if name in ("dt", "dd") else (name,), lambda x: x in ITEMS[name])  # noqa: B023
         if name == "body":
-            while any(s[0] == "head" for s in stack):
-                pop()
+            close(("head",), lambda _: False)
         if name in VOID:
             continue
-        a = attributes(token) if " " in token or "\n" in token or "\t" in token else {}
+        a = attributes(token) if marks and (" " in token or "\n" in token or "\t" in token) else {}
         role = a.get("role", "").lower()
         words = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
-        own = name in ("article", "main") or role == "main" or a.get("itemprop", "").lower() == "articlebody"
+        own = marks and (name in ("article", "main") or role == "main" or a.get("itemprop", "").lower() == "articlebody")
         hinted = role in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or any(_HINT.fullmatch(w) for w in words)
         gone = name in DROPPED and not (name == "header" and articles) or (hinted and name not in ("html", "body", "main") and not (name == "article" and not any("comment" in w for w in words)))
         if token.endswith("/>") and name not in RAW:
@@ -150,45 +186,80 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, float]], bool]:
         own = own and not dropped
         if own:
             flush()
-            gap()
+            out.extend(GAP)
             articles += 1
-            marked = True
-        if name == "a":
-            links += 1
-        stack.append((name, gone, own))
+        links += name == "a"
+        box = 0
+        if block and name not in PARAGRAPHS and name not in ("html", "body"):
+            around.append(boxes[-1].box if boxes else 0)
+            box = len(around) - 1
+        stack.append(Open(name, gone, own, box))
+        if box:
+            boxes.append(stack[-1])
+        open_names[name] += 1
     flush()
-    return out, marked
+    return out, around
 
 
-def main_text(page: str | None) -> str:
-    """Text between the surge and dive points of a page's line-block distribution.
+def surges(weights: list[int]) -> list[tuple[int, int, int]]:
+    """Stretches of the line-block distribution: first line, line after the last, and the largest window.
 
-    Lines outside a marked article, and those that are links alone, count as empty. A window of
-    WINDOW lines surges when it holds more text than the threshold (any, inside a marked article;
-    SURGE_CHARS otherwise) and dives when it is empty; all between, from the first full line of
-    that stretch, stays. Where no window surges, the longest stretch does.
+    The distribution is the sum of weights over each WINDOW lines. A stretch begins at a line with
+    weight and dives where a window is empty.
     """
-    lines, marked = lines_of(page or "")
-    if marked and not any(t and inside for t, inside, _ in lines):
-        marked = False
-    size = [len(t) if t and (inside if marked else share < 0.8) else 0 for t, inside, share in lines]
-    threshold = 0 if marked else SURGE_CHARS
-    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    stretches: list[tuple[int, int]] = []
+    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    out = []
     i = 0
-    while i < len(size):
-        if not size[i]:
+    while i < len(weights):
+        if not weights[i]:
             i += 1
             continue
-        j = i
-        while j < len(size) and sums[j]:
+        j = last = i
+        while j < len(weights) and sums[j]:
+            last = j if weights[j] else last
             j += 1
-        stretches.append((i, j))
+        out.append((i, last + 1, max(sums[i:j])))
         i = j
-    kept = [(a, b) for a, b in stretches if max(sums[a:b]) > threshold]
-    if not kept and stretches:
-        kept = [max(stretches, key=lambda s: sum(size[s[0] : s[1]]))]
-    return "\n".join(lines[k][0] for a, b in kept for k in range(a, b) if size[k])
+    return out
+
+
+def common_box(a: int, b: int, around: list[int]) -> int:
+    """The innermost box around both; a box has a larger number than those around it."""
+    while a != b:
+        a, b = max(a, b), min(a, b)
+        a = around[a]
+    return a
+
+
+def main_text(page: str | None, marks: bool = True) -> str:
+    """Text between the surge and dive points of a page's line-block distribution.
+
+    A stretch that holds more text than SURGE_CHARS outside of links in some window stays, with all
+    lines between its first and its last one that aren't links alone. What is shorter stays if it
+    shares its box with one of those, or lies between two of them in a box of the page: a closing
+    line after an advert belongs to its article. Where no window surges, the longest stretch stays.
+    If the page marks an article that has text, lines outside it are dropped and links and short lines
+    inside count in full.
+    """
+    lines, around = lines_of(page or "", marks)
+    marked = any(x.inside for x in lines)
+    weights = [len(x.text) if marked and x.inside else 0 if marked else x.weight for x in lines]
+    stretches = surges(weights)
+    chosen = [k for k, (_, _, most) in enumerate(stretches) if most > (0 if marked else SURGE_CHARS)]
+    if not chosen and stretches:
+        chosen = [max(range(len(stretches)), key=lambda k: sum(weights[stretches[k][0] : stretches[k][1]]))]
+
+    def boxes(k: int) -> set[int]:
+        a, b, _ = stretches[k]
+        return {x.box for x in lines[a:b] if x.text}
+
+    kept = set(chosen)
+    homes = set().union(*map(boxes, chosen)) if chosen else set()
+    kept.update(k for k in range(len(stretches)) if homes & boxes(k))
+    for p, q in zip(chosen, chosen[1:], strict=False):
+        if common_box(lines[stretches[p][1] - 1].box, lines[stretches[q][0]].box, around):
+            kept.update(range(p, q))
+    return "\n".join(x.text for k in sorted(kept) for x in lines[stretches[k][0] : stretches[k][1]] if x.text and (x.inside or not marked))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
