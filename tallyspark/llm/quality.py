@@ -1,4 +1,7 @@
-"""Compression classifier: text is good when a dictionary of good text shrinks it more than one of bad text."""
+"""Compression classifier: text is good when a dictionary of good text shrinks it more than one of bad text.
+
+The score is calibrated on the normalised difference of the compressed sizes and on nothing else.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +10,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows read for each class, half for its dictionary and half for the calibration.
+#: Labelled rows read for each class, half for its dictionary and half for the calibration, and the longest text among them.
 SAMPLE_ROWS = 4000
-DICTIONARY_BYTES = 112_640
+SAMPLE_CHARS = 1 << 20
+#: Sizes chosen by cross-validation inside the training rows.
+DICTIONARY_BYTES = 32_768
+TRAIN_BYTES = 512
 LEVEL = 3
 #: Texts are compressed in blocks of so many bytes, so that the dictionary and not the text's own past decides.
-BLOCK_BYTES = 1024
-#: A training document gives its dictionary so many evenly spaced blocks of 2000 bytes at most.
-TRAIN_BLOCKS = 4
+BLOCK_BYTES = 128
 
 
 @dataclass(frozen=True)
@@ -34,6 +39,9 @@ class Model:
     prior: float
 
 
+FEATURES = 8
+
+
 class Sizes:
     """Compressed sizes of a text under both dictionaries."""
 
@@ -46,26 +54,20 @@ class Sizes:
             self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False))
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        """Normalised size difference, its worst and best block, and how far the text shrinks at all."""
+        """The size difference of a text, normalised by both sizes and by its length: whole, and over its blocks the median, mean and a low and a high one."""
         raw = (text or "").encode("utf-8", "replace")
         if not raw:
-            return 0.0, 0.0, 0.0, 0.0, 0.0
+            return (0.0,) * FEATURES
         good, bad = self.packers[0].compress, self.packers[1].compress
-        g, b = [], []
-        for at in range(0, len(raw), BLOCK_BYTES):
-            part = raw[at : at + BLOCK_BYTES]
-            g.append(len(good(part)))
-            b.append(len(bad(part)))
-        sg, sb = sum(g), sum(b)
-        each = [(y - x) / (y + x) for x, y in zip(g, b, strict=True)]
-        ratio = (sg + sb) / (2 * len(raw))
-        return (sb - sg) / (sb + sg), min(each), max(each), float(np.log(ratio)), float(np.log(len(raw)))
-
-
-def expanded(f: np.ndarray) -> np.ndarray:
-    """The difference beside the ratio: repeated text shrinks alike under both dictionaries, so squares and products take part."""
-    d, low, high, ratio, size = f.T
-    return np.column_stack([d, low, high, ratio, size, ratio**2, d * ratio, size * ratio, d * size, size**2])
+        parts = [raw[at : at + BLOCK_BYTES] for at in range(0, len(raw), BLOCK_BYTES)]
+        g, b = np.array([len(good(x)) for x in parts], float), np.array([len(bad(x)) for x in parts], float)
+        n = np.full(len(parts), float(BLOCK_BYTES))
+        n[-1] = len(parts[-1])
+        gap, both = b - g, b + g
+        by_size, by_length = np.sort(gap / both), np.sort(gap / n)
+        low, middle, high = (int(q * (len(parts) - 1)) for q in (0.1, 0.5, 0.9))
+        total = gap.sum()
+        return total / both.sum(), total / len(raw), by_size[middle], by_length[middle], by_size[low], by_length[low], by_size.mean(), by_length[high]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -88,19 +90,24 @@ def dictionary(blocks: list[bytes]) -> tuple[bytes, bool]:
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, blocks).as_bytes(), False
     except zstandard.ZstdError:
-        return b"\n".join(blocks)[-DICTIONARY_BYTES:].ljust(8, b"\n"), True
+        return content(blocks), True
+
+
+def content(blocks: list[bytes]) -> bytes:
+    """As many blocks, in hash order, as a dictionary holds."""
+    return b"\n".join(blocks)[:DICTIONARY_BYTES].ljust(8, b"\n")
 
 
 def blocks_of(text: str | None) -> list[bytes]:
+    """All of a text in blocks."""
     raw = (text or "").encode("utf-8", "replace")
-    parts = range(0, max(1, len(raw)), 2000)
-    return [raw[parts[i] : parts[i] + 2000] for i in sorted({len(parts) * j // TRAIN_BLOCKS for j in range(TRAIN_BLOCKS)}) if raw]
+    return [raw[at : at + TRAIN_BYTES] for at in range(0, len(raw), TRAIN_BYTES)]
 
 
-def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learn from at most ``sample_rows`` rows a class of ``labelled`` (id, label 0 or 1), taken in hash order.
 
-    Rows with a null id or another label are left out; of several labels of an id the smallest
+    Their texts are used whole; a text of more than ``sample_chars`` isn't learned from. Rows with a null id or another label are left out; of several labels of an id the smallest
     holds. With no labels every text gets 0.5, with one class its smoothed share.
     """
     spark = docs.sparkSession
@@ -114,7 +121,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     picked = [(r["_id"], y) for y in (0, 1) for r in known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).select("_id").collect()]
     chosen = spark.createDataFrame(picked, known.select("_id", "_label").schema)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_label", (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)) == 0).alias("_dict"), "_text")
+    sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_label", (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)) == 0).alias("_dict"), "_text").where(F.coalesce(F.char_length("_text") <= sample_chars, F.lit(True)))
     from tallyspark.llm.shared import checkpointed
 
     sample = checkpointed(sample)
@@ -128,20 +135,23 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
         blocks[r["label"]].append(bytes(r["block"]))
     if not blocks[0] or not blocks[1]:
         return nothing
-    (good, raw_good), (bad, raw_bad) = dictionary(sorted(blocks[1])), dictionary(sorted(blocks[0]))
+    for y in (0, 1):
+        blocks[y].sort(key=lambda x: (xxhash.xxh64_intdigest(x), x))
+    (good, raw_good), (bad, raw_bad) = dictionary(blocks[1]), dictionary(blocks[0])
     raw = raw_good or raw_bad
     if raw:
-        good, bad = (b"\n".join(sorted(blocks[y]))[-DICTIONARY_BYTES:].ljust(8, b"\n") for y in (1, 0))
+        good, bad = content(blocks[1]), content(blocks[0])
+    names = [f"f{i}" for i in range(FEATURES)]
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = Sizes(good, bad, raw)
         for f in frames:
-            yield pd.DataFrame([(y, *sizes.features(t)) for y, t in zip(f["_label"], f["_text"], strict=True)], columns=["y", "a", "b", "c", "d", "e"])
+            yield pd.DataFrame([(y, *sizes.features(t)) for y, t in zip(f["_label"], f["_text"], strict=True)], columns=["y", *names])
 
-    seen = np.array([tuple(r) for r in sample.where("not _dict").mapInPandas(measure, "y int, a double, b double, c double, d double, e double").orderBy("y", "a", "b", "c", "d", "e").collect()], float)
+    seen = np.array([tuple(r) for r in sample.where("not _dict").mapInPandas(measure, "y int, " + ", ".join(f"{c} double" for c in names)).orderBy("y", *names).collect()], float)
     if not len(seen) or len(set(seen[:, 0])) < 2:
         return nothing
-    y, x = seen[:, 0], expanded(seen[:, 1:])
+    y, x = seen[:, 0], seen[:, 1:]
     mean, scale = x.mean(0), x.std(0) + 1e-9
     weight = np.where(y == 1, n_good / (y == 1).sum(), n_bad / (y == 0).sum())
     beta = logistic((x - mean) / scale, y, weight * len(y) / weight.sum())
@@ -159,7 +169,7 @@ def scored(model: Model, text: Column) -> Column:
             out = np.full(len(t), model.prior)
             full = [i for i, x in enumerate(t) if x]
             if sizes and full:
-                x = (expanded(np.array([sizes.features(t.iloc[i]) for i in full])) - mean) / scale
+                x = (np.array([sizes.features(t.iloc[i]) for i in full]) - mean) / scale
                 out[full] = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
             yield pd.Series(out)
 

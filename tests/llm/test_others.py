@@ -126,3 +126,15 @@ def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>é x</p></article>", 5), (2, None, None, 6), (None, "v", "", 7), (1, "u", "<p>one", 5)], "page_id long, url string, html string, n_chars int")
     got = sorted(((r["page_id"] or 0, r["url"] or "", r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()))
     assert got == [(0, "v", "", 0), (1, "u", "one", 3), (1, "u", "é x", 3), (2, "", "", 0)]
+
+
+def test_scores_equal_a_plain_version(spark):
+    from tests.llm.test_pipeline import plain_scores
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.training_model(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert not model.raw
+    rows = docs.select("text", quality.scored(model, F.col("text")).alias("s")).collect()
+    assert all(math.isclose(r["s"], s, abs_tol=1e-9) for r, s in zip(rows, plain_scores(model, [r["text"] for r in rows]), strict=True))
+    none = docs.limit(0)
+    assert none.select(quality.scored(model, F.col("text"))).count() == 0

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -17,14 +18,22 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain_scores(model, texts):
-    sizes = quality.Sizes(model.good, model.bad, model.raw)
-    mean, scale, beta = map(np.array, (model.mean, model.scale, model.weights))
+    """Scores from the model's dictionaries and weights, with compressed sizes taken anew."""
+    packers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False) for d in (model.good, model.bad)]
     for text in texts:
-        if not text:
+        raw = (text or "").encode()
+        if not raw:
             yield model.prior
             continue
-        x = (quality.expanded(np.array([sizes.features(text)])) - mean) / scale
-        yield 1 / (1 + math.exp(-float((x @ beta[:-1] + beta[-1])[0])))
+        blocks = [raw[k : k + 128] for k in range(0, len(raw), 128)]
+        sizes = [[len(p.compress(x)) for x in blocks] for p in packers]
+        ratio = sorted((y - x) / (y + x) for x, y in zip(*sizes))
+        rate = sorted((y - x) / len(z) for x, y, z in zip(*sizes, blocks))
+        g, b = map(sum, sizes)
+        at = lambda q: int(q * (len(blocks) - 1))
+        f = [(b - g) / (b + g), (b - g) / len(raw), ratio[at(0.5)], rate[at(0.5)], ratio[at(0.1)], rate[at(0.1)], sum(ratio) / len(ratio), rate[at(0.9)]]
+        z = sum(w * (x - m) / s for w, x, m, s in zip(model.weights, f, model.mean, model.scale)) + model.weights[-1]
+        yield 1 / (1 + math.exp(-max(-30, min(30, z))))
 
 
 def plain_representatives(rows):
