@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import unused
+from tallyspark.llm.shared import checkpointed, unused
 
-#: Up to so many sources their rates are broadcast (each is a short array); beyond, Spark chooses the join.
-BROADCAST_SOURCES = 5_000
+#: The distributions of all sources are broadcast if they take so many bytes at most; beyond, Spark chooses the join.
+BROADCAST_BYTES = 8 << 20
 
 
 def uniform(id_col: str, seed: int) -> Column:
@@ -26,16 +26,38 @@ def log_factorial(k: Column) -> Column:
     return F.when(k <= 20, F.log(F.factorial(F.least(k, F.lit(20.0)).cast("int")).cast("double"))).otherwise(tail)
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k from 0 to far beyond the mean; a rate of 0 gives P(X <= 0) = 1."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    mass = F.transform(F.sequence(F.lit(0), last), lambda k: F.exp(k * F.log(rate) - rate - log_factorial(k)))
-    cdf = F.transform(F.sequence(F.lit(1), last + 1), lambda k: F.aggregate(F.slice(mass, 1, k), F.lit(0.0), lambda a, x: a + x))
-    return F.when(rate > 0, cdf).otherwise(F.array(F.lit(1.0)))
+def steps(rate: Column) -> tuple[Column, Column]:
+    """The counts worth a look: what lies outside has a probability far below that of the smallest hashed number."""
+    spread = 12 * F.sqrt(rate) + 30
+    return F.greatest(F.lit(0), F.floor(rate - spread)).cast("long"), F.ceil(rate + spread).cast("long")
 
 
-def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, exponent: float, total: float | None) -> tuple[DataFrame, int]:
-    """``_source, _rate`` for each source, null being one of them, and how many there are.
+def poisson_cdf(rates: DataFrame) -> DataFrame:
+    """``_source, _first, _cdf``: P(X <= k) for k from ``_first`` on, to far beyond the mean; a rate of 0 gives P(X <= 0) = 1.
+
+    One running sum a source, over some 24 times the root of the rate.
+    """
+    rate, k = F.col("_rate"), F.col("_k")
+    first, last = steps(rate)
+    mass = rates.select("_source", "_rate", F.explode(F.sequence(first, F.when(rate > 0, last).otherwise(first))).alias("_k"))
+    mass = mass.withColumn("_p", F.when(rate > 0, F.exp(k * F.log(rate) - rate - log_factorial(k))).otherwise(F.lit(1.0)))
+    along = Window.partitionBy("_source").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    sums = mass.withColumn("_c", F.sum("_p").over(along)).groupBy("_source").agg(F.array_sort(F.collect_list(F.struct("_k", "_c"))).alias("_steps"))
+    return sums.select("_source", F.get("_steps", F.lit(0))["_k"].alias("_first"), F.col("_steps._c").alias("_cdf"))
+
+
+def count_up_to(first: str, cdf: str, u: str) -> Column:
+    """Smallest k with P(X <= k) > u: the place of u among the sums, found from the end so that equal ones come before it.
+
+    A lambda that holds u must not stand here: in a new session its variable can get the number of a
+    column of the table, and the optimizer then takes it to the wrong side of the join.
+    """
+    above = F.array_position(F.reverse(F.sort_array(F.array_append(cdf, F.col(u)))), F.col(u)) - 1
+    return (F.col(first) + F.size(cdf) - above).cast("int")
+
+
+def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, exponent: float, total: float | None) -> DataFrame:
+    """``_source, _rate`` for each source, null being one of them.
 
     ``weights`` are shares by source (others get 0; they needn't sum to 1); without them a source's
     weight is its row count to the power ``exponent``. ``total`` rows are aimed at, by default as many as there are.
@@ -48,9 +70,9 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
             weight = F.when(F.col("_source") == F.lit(name), F.lit(float(share))).otherwise(weight)
     n, rows, mass = counts.agg(F.count("*"), F.sum("_n"), F.sum(weight)).first()
     if not n or not mass:
-        return counts.select("_source", F.lit(0.0).alias("_rate")), n
+        return counts.select("_source", F.lit(0.0).alias("_rate"))
     aim = float(rows if total is None else total)
-    return counts.select("_source", (weight / F.lit(float(mass)) * F.lit(aim) / F.col("_n")).alias("_rate")), n
+    return counts.select("_source", (weight / F.lit(float(mass)) * F.lit(aim) / F.col("_n")).alias("_rate"))
 
 
 def mix(
@@ -63,13 +85,15 @@ def mix(
     the empty text. Each source's expected rows are its weight's share of the total. An existing
     column of the name ``copy_col`` is replaced.
     """
-    rates, n = source_rates(docs, source_col, weights, exponent, total)
-    source, cdf, u, times, order = unused(docs, "_source", "_cdf", "_u", "_times", "_order")
-    table = rates.select(F.col("_source").alias(source), poisson_cdf(F.col("_rate")).alias(cdf))
-    table = F.broadcast(table) if n <= BROADCAST_SOURCES else table
+    rates = checkpointed(source_rates(docs, source_col, weights, exponent, total))
+    source, first, cdf, u, times, order = unused(docs, "_source", "_first", "_cdf", "_u", "_times", "_order")
+    low, high = steps(F.col("_rate"))
+    size = rates.agg(F.sum(8.0 * (high - low) + 100.0)).first()[0] or 0.0
+    table = checkpointed(poisson_cdf(rates).select(F.col("_source").alias(source), F.col("_first").alias(first), F.col("_cdf").alias(cdf)))
+    table = F.broadcast(table) if size <= BROADCAST_BYTES else table
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() != copy_col.lower()]
-    drawn = docs.join(table, docs[source_col].eqNullSafe(table[source])).withColumn(u, uniform(id_col, seed))
-    drawn = drawn.withColumn(times, F.size(F.filter(cdf, lambda c: c <= F.col(u)))).where(F.col(times) > 0)
+    drawn = docs.join(table, F.col(f"`{source_col}`").eqNullSafe(F.col(source))).withColumn(u, uniform(id_col, seed))
+    drawn = drawn.withColumn(times, count_up_to(first, cdf, u)).where(F.col(times) > 0)
     copies = drawn.select(*keep, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy_col))
     place = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(copy_col))
     return copies.withColumn(order, place).repartition(order).sortWithinPartitions(order).drop(order)

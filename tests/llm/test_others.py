@@ -1,6 +1,10 @@
 import hashlib
 import math
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +113,45 @@ def test_mixing_weights_and_large_rates(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs, weights={"z": 1.0}).count() == 0
 
 
+def test_mixing_of_an_unsaved_frame_is_the_first_call_of_a_session():
+    code = """
+from pyspark.sql import SparkSession, functions as F
+from tallyspark.llm import mixing
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "tiny").otherwise("big").alias("source"))
+print("rows", mixing.mix(docs).count())
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": root})
+    assert 300 < int(done.stdout.split("rows ")[1]) < 700, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("rate", [0.0, 1e-9, 0.4, 3.0, 700.0, 1e5, 1e8])
+def test_distribution_of_every_rate(spark, rate):
+    rates = spark.createDataFrame([("a", rate), (None, 1.0)], "_source string, _rate double")
+    (row,) = mixing.poisson_cdf(rates).where("_source = 'a'").collect()
+    cdf = row["_cdf"]
+    assert cdf == sorted(cdf) and math.isclose(cdf[-1], 1, abs_tol=1e-5) and len(cdf) <= 24 * math.sqrt(rate) + 63
+    assert row["_first"] == 0 or cdf[0] < 2**-40
+    if rate:
+        above = next(k for k, c in enumerate(cdf) if c > 0.5) + row["_first"]
+        assert abs(above - rate) <= 1 + rate * 1e-6
+    else:
+        assert cdf == [1.0]
+
+
+def test_counts_at_equal_sums(spark):
+    rows = [(0, [0.25, 0.5, 0.5, 1.0], u) for u in (0.0, 0.25, 0.3, 0.5, 0.75)]
+    df = spark.createDataFrame(rows, "f long, c array<double>, u double")
+    assert [r["n"] for r in df.select(mixing.count_up_to("f", "c", "u").alias("n")).collect()] == [0, 1, 1, 3, 3]
+
+
+def test_one_row_of_a_very_high_rate(spark):
+    docs = spark.createDataFrame([(i, "tiny" if i == 7 else "big") for i in range(2000)], "doc_id long, source string")
+    out = mixing.mix(docs, weights={"tiny": 1.0}, total=1e5)
+    assert abs(out.count() - 1e5) < 3000 and out.select("doc_id").distinct().count() == 1
+
+
 def test_main_text():
     menu, foot = "<nav><ul><li><a href=/a>One</a><li><a>Two</a></ul></nav>", "<footer>&copy; x</footer></body></html>"
     page = f"<html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{menu}<div class=ad>Buy</div><article><header><h1>Title &amp;\n more</h1></header><p><b>First<br><p>Second  one.<p>Ok.<aside>Side</aside><form><p>Name</form><section class='comments'><p>Nice!</section></article>{foot}"
