@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an index segment and queries that meet it in one task.
+#: Rows of an index segment.
 SEGMENT_ROWS = 16_384
-QUERY_BLOCK = 256
+#: Scores of more bits than this could overflow.
+SCORE_BITS = 62
 
 
 def quantised(x: np.ndarray, scale: int) -> np.ndarray:
-    return np.floor(scale * x.astype(np.float64)).astype(np.int64)
+    out = np.floor(scale * x.astype(np.float64))
+    if len(out) and np.abs(out).max() >= 2.0**SCORE_BITS:
+        raise OverflowError("a quantised component needs more than 62 bits")
+    return out.astype(np.int64)
 
 
 class SlicedSegment:
@@ -26,6 +32,7 @@ class SlicedSegment:
         self.low = values.min(axis=0)
         shifted = (values - self.low).astype(np.uint64)
         self.bits = max(1, int(shifted.max()).bit_length())
+        self.largest = float(np.abs(values).astype(np.float64).max())
         self.words = -(-self.rows // 64)
         packed = np.zeros((self.width, self.bits, self.words * 8), np.uint8)
         for b in range(self.bits):
@@ -82,6 +89,8 @@ class SlicedSegment:
         From the most significant slice down, rows surely in and rows still equal are told apart;
         when the slices end, the equal ones share the boundary score and the first of them fill up.
         """
+        if self.width * self.largest * float(np.abs(query).astype(np.float64).max()) >= 2.0**SCORE_BITS:
+            raise OverflowError("a score could need more than 62 bits")
         equal = self.all.copy()
         if without >= 0:
             equal[without // 64] &= ~(np.uint64(1) << np.uint64(without % 64))
@@ -119,44 +128,67 @@ def finite(vector: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
 
 
-def top_k(
-    vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", segment_rows: int = SEGMENT_ROWS, query_block: int = QUERY_BLOCK
-) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` of every query row's k best other rows, ties to the smaller id.
 
-    Components are quantised to floor(scale * x). Rows are dealt by a hash of their id into segments
-    and queries into blocks; each segment meets each block in a task of its own, so the work is
-    spread and a task stays bounded. Vectors that are null, empty or not finite, and rows with a null
-    id, take no part; vectors of different lengths don't compare; rows of one id are never each
-    other's results. Components up to 4096 in size are exact in 64 bits.
+    Components are quantised to floor(scale * x). Rows are dealt by a hash of their id into segments;
+    a segment is indexed once and all queries stream through it in batches, so a task holds one
+    segment and one batch. Only where there are fewer segments than the cluster has cores, a segment
+    is dealt several times, each with its part of the queries. Vectors that are null, empty or not
+    finite, and rows with a null id, take no part; vectors of different lengths don't compare; rows of
+    one id are never each other's results. Values so large that a score could overflow 62 bits raise an error.
     """
     element = vectors.schema[vector_col].dataType.elementType
     kind, exact = ("<f4", "array<float>") if isinstance(element, T.FloatType) else ("<f8", "array<double>")
     chosen = vectors.withColumn("_q", F.coalesce(is_query, F.lit(False)))
     chosen = chosen.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(exact).alias("v"), "_q").where(finite(F.col("v")) & F.col("vec_id").isNotNull())
-    n, q = chosen.agg(F.count("*"), F.count_if("_q")).first()
-    segments, blocks = max(1, -(-n // segment_rows)), max(1, -(-q // query_block))
-    candidates = chosen.select("vec_id", "v", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id"), F.lit(segments)).alias("segment"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    queries = chosen.where("_q").select("vec_id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(segments - 1).cast("long"))).alias("segment"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).alias("block"))
-
-    def search(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        length = f["v"].map(len)
-        for width in sorted(set(length)):
-            g = f[length == width].sort_values("vec_id", kind="stable")
-            own, asks = g[~g["asks"]], g[g["asks"]]
-            if not len(own) or not len(asks):
+    n = chosen.count()
+    segments = max(1, -(-n // segment_rows))
+    parts = max(1, -(-vectors.sparkSession.sparkContext.defaultParallelism // segments))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(segments))
+    candidates = chosen.select("vec_id", "v", F.lit(False).alias("asks"), own.alias("segment"), every(parts).alias("part"))
+    queries = chosen.where("_q").select("vec_id", "v", F.lit(True).alias("asks"), every(segments).alias("segment"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(parts)).alias("part"))
+    dealt = candidates.union(queries).select((F.col("segment") * parts + F.col("part")).alias("slot"), "asks", "vec_id", "v")
+    dealt = dealt.repartition("slot").sortWithinPartitions("slot", "asks", "vec_id")
+
+    def stacked(rows: list) -> np.ndarray:
+        return quantised(np.stack([np.asarray(v, kind) for v in rows]), scale)
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, indexes = None, [], {}
+
+        def by_width(f: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+            length = f["v"].map(len)
+            for width in sorted(set(length)):
+                yield width, f[length == width]
+
+        for f in frames:
+            if not len(f):
                 continue
-            stacked = lambda h: quantised(np.stack([np.asarray(v, kind) for v in h["v"]]), scale)
-            ids = own["vec_id"].to_numpy()
-            index = SlicedSegment(stacked(own))
-            for query_id, query in zip(asks["vec_id"].tolist(), stacked(asks), strict=True):
-                a, b = np.searchsorted(ids, query_id, "left"), np.searchsorted(ids, query_id, "right")
-                rows, scores = index.top(query, k + max(0, int(b - a) - 1), int(a) if b > a else -1)
-                fit = [(query_id, int(ids[r]), int(s)) for r, s in zip(rows, scores, strict=True) if ids[r] != query_id]
-                out += fit[:k]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    met = candidates.union(queries).groupBy("segment", "block").applyInPandas(search, "query_id long, vec_id long, score long")
+            mark = f["slot"].to_numpy() * 2 + f["asks"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(mark[1:] != mark[:-1]) + 1, [len(f)]])
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                g, slot, asks = f.iloc[begin:end], int(mark[begin]) // 2, bool(mark[begin] % 2)
+                if slot != now:
+                    now, held, indexes = slot, [], {}
+                if not asks:
+                    held.append(g)
+                    continue
+                if held:  # all candidates of a slot come before its queries
+                    indexes = {w: (h["vec_id"].to_numpy(), SlicedSegment(stacked(h["v"].to_list()))) for w, h in by_width(pd.concat(held))}
+                    held = []
+                out: list[tuple[int, int, int]] = []
+                for width, h in by_width(g):
+                    if width not in indexes:
+                        continue
+                    ids, index = indexes[width]
+                    for query_id, query in zip(h["vec_id"].tolist(), stacked(h["v"].to_list()), strict=True):
+                        a, b = np.searchsorted(ids, query_id, "left"), np.searchsorted(ids, query_id, "right")
+                        rows, scores = index.top(query, k + max(0, int(b - a) - 1), int(a) if b > a else -1)
+                        out += [(query_id, int(ids[r]), int(s)) for r, s in zip(rows, scores, strict=True) if ids[r] != query_id][:k]
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+    met = dealt.mapInPandas(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

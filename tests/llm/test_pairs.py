@@ -70,14 +70,15 @@ def test_no_vectors(spark):
     assert bitslice.top_k(df, F.col("vec_id") % 2 == 0).count() == 0
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("rows_each", [64, 16_384])
+def test_top_k_equals_brute_force(spark, rows_each):
     rng = np.random.default_rng(2)
     x = np.round(rng.normal(size=(300, 6)), 1).astype(np.float32)
     x[50:80] = x[0]
     rows = [(int(i), [float(c) for c in v]) for i, v in enumerate(x)] + [(400, None), (401, [float("nan")] * 6), (402, [1.0]), (403, [2.0]), (None, [1.0] * 6)]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<float>, score int")
     got = {}
-    for r in bitslice.top_k(df, F.col("vec_id") % 50 == 0, k=5, segment_rows=64, query_block=2).orderBy("query_id", "rank").collect():
+    for r in bitslice.top_k(df, F.col("vec_id") % 50 == 0, k=5, segment_rows=rows_each).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
         assert r["rank"] == len(got[r["query_id"]])
     q = {i: np.floor(256 * np.array(v, np.float64)).astype(np.int64) for i, v in rows if i is not None and v and all(map(math.isfinite, v))}
@@ -87,6 +88,15 @@ def test_top_k_equals_brute_force(spark):
             assert got[i] == [(j, -s_) for s_, j in s]
 
 
+def test_scores_that_overflow_raise(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="62 bits"):
+        bitslice.top_k(df, F.col("vec_id") == 0).collect()
+    df = spark.createDataFrame([(0, [3e7, 1.0]), (1, [3e7, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="62 bits"):
+        bitslice.top_k(df, F.col("vec_id") == 0).collect()
+
+
 def plain_fingerprint(text):
     import re
 
