@@ -13,12 +13,16 @@ from pyspark.sql import types as T
 
 from tallyspark.llm.shared import checkpointed, components, empty_edges
 
-#: Vectors in a block; a pair of blocks is a unit of work.
-BLOCK_ROWS = 2048
+#: Vectors in a block at least and at most; between them a block is half of a core's share.
+LEAST_BLOCK_ROWS, BLOCK_ROWS = 2048, 16_384
+#: Visitors that are compared with a block at a time.
+STRIPE = 256
 #: Most pivots; their coordinates go to every task.
 MOST_PIVOTS = 512
 #: Room for rounding in the bounds; pairs are decided by their cosine alone.
-SLACK = 1e-9
+SLACK = 1e-7
+#: Pivots closer than this are told apart by rounding only.
+LEAST_GAP = 1e-4
 
 
 def usable(vector: Column) -> Column:
@@ -35,35 +39,64 @@ def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def linked(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """For each stretch of rows of ``a``: where it begins and which rows of ``b`` have the cosine; not themselves if ``same``."""
-    for at in range(0, len(a), 512):
-        near = a[at : at + 512] @ b.T >= threshold
-        if same:
-            near[np.arange(len(near)), np.arange(at, at + len(near))] = False
-        yield at, near
-
-
-def forest(near: np.ndarray) -> np.ndarray:
-    """Smallest row reachable from each row of a symmetric matrix."""
-    label = np.arange(len(near))
-    while True:
-        low = np.minimum(label, np.where(near, label[None, :], len(label)).min(axis=1))
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+class Block:
+    """Vectors of one length at home in a block: how many vectors each links with, and what is connected so far."""
+
+    def __init__(self, rep: np.ndarray, m: np.ndarray, x: np.ndarray, threshold: float) -> None:
+        self.rep, self.m, self.x, self.threshold = rep, m, x, threshold
+        self.links, self.label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        for at in range(0, len(rep), STRIPE):
+            i, j = np.nonzero(self.near(x[at : at + STRIPE]))
+            other = i + at != j
+            i, j = i[other], j[other]
+            self.links[at : at + STRIPE] += np.bincount(i, m[j], min(STRIPE, len(rep) - at)).astype(np.int64)
+            # a vector is of one label with what it links with
+            self.join(np.concatenate([i, np.arange(min(STRIPE, len(rep) - at))]), np.concatenate([j, np.arange(at, min(at + STRIPE, len(rep)))]))
+
+    def near(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.x.T >= self.threshold
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All rows ``j`` with the same ``i`` get one label; returns each i and its label."""
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        each, begins = np.unique(i, return_index=True)
+        if not len(each):
+            return each, each
+        found = self.label[j]
+        unlike = np.minimum.reduceat(found, begins) != np.maximum.reduceat(found, begins)
+        ends = np.append(begins[1:], len(j))
+        for a, b in zip(begins[unlike].tolist(), ends[unlike].tolist(), strict=True):
+            labels = np.unique(self.label[j[a:b]])
+            if len(labels) > 1:
+                self.label[np.isin(self.label, labels)] = labels[0]
+        return each, self.label[j[begins]]
+
+    def visit(self, rep: np.ndarray, m: np.ndarray, x: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Links of visitors, each with a vector of the block that it is connected with."""
+        for at in range(0, len(rep), STRIPE):
+            i, j = np.nonzero(self.near(x[at : at + STRIPE]))
+            if len(i):
+                self.links += np.bincount(j, m[at + i], len(self.rep)).astype(np.int64)
+                n = np.bincount(i, self.m[j], STRIPE).astype(np.int64)
+                each, label = self.join(i, j)
+                yield pd.DataFrame({"rep": rep[at + each], "links": n[each], "root": self.rep[label]})
+
+    def home(self) -> pd.DataFrame:
+        own = self.links > 0
+        return pd.DataFrame({"rep": self.rep[own], "links": self.links[own], "root": self.rep[self.label[own]]})
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
     Equal vectors are joined once and count as links of each other. A vector belongs to the cell of
-    its nearest pivot; cells are cut into blocks of bounded size, and a vector goes to another
+    its nearest pivot; cells are cut into blocks of bounded size, and a vector visits another
     cell's blocks only if the triangle inequality (distance to the pivot against the cell's radius,
-    and to the plane between the two pivots) leaves room for a partner there. Each pair of blocks
-    joins alone and returns counts and a spanning forest, never its pairs. Vectors of another
-    length than most form cells of their own.
+    and to the plane between the two pivots) leaves room for a partner there. Of two blocks only the
+    vectors of one visit the other, which of them alternates. A task holds a block while its visitors
+    stream by, and returns counts and a spanning forest, never its pairs. Vectors of other
+    lengths than most share a cell.
 
     Vectors that are null, zero or not finite link with nothing and are their own component, as is a
     row with a null id, whose component is null. Repeated ids are rows of their own; ``n_links``
@@ -77,11 +110,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     rows = rows.select("vec_id", F.when(usable(F.col("v")) & F.col("vec_id").isNotNull(), F.col("v")).alias("v"))
     # equal vectors once, by their smallest id
     distinct = checkpointed(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
-    sizes = {r["d"]: r["n"] for r in distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1000).collect()}
-    if not sizes:
+    common = distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if common is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    width = next(iter(sizes))
-    k = max(1, min(MOST_PIVOTS, sizes[width] // block_rows))
+    width, n = common
+    if block_rows is None:
+        block_rows = max(LEAST_BLOCK_ROWS, min(BLOCK_ROWS, n // (2 * spark.sparkContext.defaultParallelism)))
+    k = max(1, min(MOST_PIVOTS, n // block_rows))
     picked = distinct.where(F.size("v") == width).orderBy(F.xxhash64("rep"), "rep").limit(k).select("v").collect()
     pivots = unit_rows([np.array(r["v"], kind).tobytes() for r in picked], kind)
     plane = np.sqrt(np.maximum(0, ((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(-1)))
@@ -93,7 +128,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         for f in frames:
             length = f["v"].map(len).to_numpy()
             raw = [np.asarray(v, kind).tobytes() for v in f["v"]]
-            cell, far = -length.astype(np.int32), np.zeros(len(f))
+            cell, far = np.full(len(f), -1, np.int32), np.zeros(len(f))
             if len(at := np.flatnonzero(length == width)):
                 d = distances(unit_rows([raw[i] for i in at], kind))
                 cell[at], far[at] = d.argmin(1), d.min(1)
@@ -101,7 +136,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
 
     homes = checkpointed(distinct.mapInPandas(home, "rep long, m long, cell int, far double, raw binary"))
     cells = homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).orderBy("cell").collect()
-    # the number of cells is bounded by the pivots and the lengths that occur
+    # there are not more cells than pivots, and one
     blocks: dict[int, list[int]] = {}
     total = 0
     for r in cells:
@@ -112,62 +147,63 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out: list[tuple[int, int, int, int, int, int, bytes]] = []
-            cell = f["cell"].to_numpy()
+            if not len(f):
+                continue
+            cell, rep, raw = f["cell"].to_numpy(), f["rep"].to_numpy(), f["raw"].to_numpy()
             open_cells = np.zeros((len(f), len(pivots)), bool)
             if len(at := np.flatnonzero(cell >= 0)):
-                d = distances(unit_rows([f["raw"].iloc[i] for i in at], kind))
+                d = distances(unit_rows(raw[at].tolist(), kind))
                 own = d[np.arange(len(at)), cell[at]][:, None]
                 gap = plane[cell[at]]
-                margin = np.where(gap > 0, (d * d - own * own) / np.where(gap > 0, 2 * gap, 1), 0)
+                margin = np.where(gap > LEAST_GAP, (d * d - own * own) / np.maximum(2 * gap, LEAST_GAP), 0)
                 open_cells[at] = (margin <= reach) & (d <= radius[None, :] + reach)
-            for i, (rep, m, c, raw) in enumerate(zip(f["rep"], f["m"], cell.tolist(), f["raw"], strict=True)):
-                mine = blocks[c][(rep * 0x9E3779B97F4A7C15 & (1 << 64) - 1 ^ rep >> 7) % len(blocks[c])]
-                others = blocks[c] if c < 0 else [b for o in {c, *np.flatnonzero(open_cells[i]).tolist()} if o in blocks for b in blocks[o]]
-                out += [(min(mine, b), max(mine, b), mine, rep, m, c, raw) for b in others]
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["lo", "hi", "block", "rep", "m", "cell", "raw"])
-                    out = []
-            yield pd.DataFrame(out, columns=["lo", "hi", "block", "rep", "m", "cell", "raw"]).astype({"lo": "int32", "hi": "int32", "block": "int32", "rep": "int64", "m": "int64", "cell": "int32"})
-
-    def join(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(key[0]), int(key[1])
-        f = f.sort_values("rep", kind="stable")
-        a = f[f["block"] == lo]
-        b = a if lo == hi else f[f["block"] == hi]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-        x = unit_rows(a["raw"].tolist(), kind)
-        y = x if lo == hi else unit_rows(b["raw"].tolist(), kind)
-        if x.shape[1] != y.shape[1]:
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-        ma, mb = a["m"].to_numpy(), b["m"].to_numpy()
-        la, lb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        sides: list[tuple[np.ndarray, np.ndarray]] = []
-        for at, near in linked(x, y, threshold, lo == hi):
-            la[at : at + len(near)] = near @ mb
-            lb += ma[at : at + len(near)] @ near
-            if near.any():
-                rows_at, cols_at = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-                sides.append((rows_at + at, cols_at))
-        if not sides:
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-        # the vectors that have links at all, compared once more for their forest
-        ra = np.unique(np.concatenate([s[0] for s in sides]))
-        rb = np.unique(np.concatenate([s[1] for s in sides]))
-        ids = np.concatenate([a["rep"].to_numpy()[ra], b["rep"].to_numpy()[rb]] if lo != hi else [a["rep"].to_numpy()[np.union1d(ra, rb)]])
-        z = np.concatenate([x[ra], y[rb]]) if lo != hi else x[np.union1d(ra, rb)]
-        order = np.argsort(ids, kind="stable")
-        ids, z = ids[order], z[order]
-        near = np.zeros((len(ids), len(ids)), bool)
-        for at, part in linked(z, z, threshold, True):
-            near[at : at + len(part)] = part
-        root = ids[forest(near | near.T)]
-        links = pd.concat([pd.DataFrame({"rep": a["rep"], "links": la})] + ([pd.DataFrame({"rep": b["rep"], "links": lb})] if lo != hi else []))
-        return links[links["links"] > 0].merge(pd.DataFrame({"rep": ids, "root": root}), on="rep", how="left").astype("int64")
-
-    dealt = homes.mapInPandas(deal, "lo int, hi int, block int, rep long, m long, cell int, raw binary")
-    found = checkpointed(dealt.groupBy("lo", "hi").applyInPandas(join, "rep long, links long, root long"))
+                open_cells[at, cell[at]] = True
+            spread = rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            spread ^= spread >> np.uint64(29)
+            first, count = (np.array([g(blocks[c]) for c in cell.tolist()]) for g in (lambda x: x[0], len))
+            mine = first + (spread % count.astype(np.uint64)).astype(np.int64)
+            yield pd.DataFrame({"block": mine, "visits": False, "rep": rep, "m": f["m"], "raw": raw}).astype({"block": "int32"})
+            for c, theirs in blocks.items():
+                some = np.flatnonzero(open_cells[:, c] if c >= 0 else cell < 0)
+                for b in theirs:
+                    go = some[(mine[some] != b) & (((mine[some] + b) % 2 == 0) == (mine[some] < b))]
+                    if len(go):
+                        yield pd.DataFrame({"block": b, "visits": True, "rep": rep[go], "m": f["m"].to_numpy()[go], "raw": raw[go]}).astype({"block": "int32"})
+
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, homes_of = None, [], {}
+
+        def settled() -> dict[int, Block]:
+            f = pd.concat(held)
+            length = f["raw"].map(len).to_numpy()
+            return {n: Block(f["rep"].to_numpy()[length == n], f["m"].to_numpy()[length == n], unit_rows(f["raw"][length == n].tolist(), kind), threshold) for n in sorted(set(length.tolist()))}
+
+        for f in frames:
+            if not len(f):
+                continue
+            mark = f["block"].to_numpy().astype(np.int64) * 2 + f["visits"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(mark[1:] != mark[:-1]) + 1, [len(f)]])
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                g = f.iloc[begin:end]
+                if mark[begin] // 2 != now:
+                    homes_of = settled() if held else homes_of
+                    yield from (b.home() for b in homes_of.values())
+                    now, held, homes_of = mark[begin] // 2, [], {}
+                if mark[begin] % 2 == 0:
+                    held.append(g)
+                    continue
+                if held:  # all that is at home comes before the visitors
+                    homes_of, held = settled(), []
+                length = g["raw"].map(len).to_numpy()
+                for n in sorted(set(length.tolist()) & set(homes_of)):
+                    h = g[length == n]
+                    yield from homes_of[n].visit(h["rep"].to_numpy(), h["m"].to_numpy(), unit_rows(h["raw"].tolist(), kind))
+        homes_of = settled() if held else homes_of
+        yield from (b.home() for b in homes_of.values())
+
+    dealt = homes.mapInPandas(deal, "block int, visits boolean, rep long, m long, raw binary")
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "visits", "rep")
+    found = checkpointed(dealt.mapInPandas(join, "rep long, links long, root long"))
     edges = found.select(F.col("rep").alias("src"), F.col("root").alias("dst"))
     whole = components(edges) if not edges.isEmpty() else empty_edges(spark).toDF("node", "component_id")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))

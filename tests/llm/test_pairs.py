@@ -152,3 +152,20 @@ def test_every_pair_within_four_bits_shares_a_list():
         b = a ^ sum(1 << int(x) for x in rng.choice(64, 4, replace=False))
         keys = simhash.index_keys(np.array([a, b], np.uint64))
         assert (keys[0] == keys[1]).any()
+
+
+def test_dealt_rows_go_one_way(spark, monkeypatch):
+    """Vectors without clusters: a row is at home once and visits about half of the other blocks."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 24)).astype(np.float32)
+    x[1000:1040] = x[0] + 0.01 * rng.normal(size=(40, 24))
+    x[1100] = 3 * x[5]
+    monkeypatch.setattr(vector_join, "STRIPE", 7)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for block in (100, 5000, None):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_join.near_vectors(df, 0.9, block_rows=block).collect()}
+        unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+        near = unit @ unit.T >= 0.9
+        np.fill_diagonal(near, False)
+        low = closure(range(len(x)), [(int(i), int(j)) for i, j in np.argwhere(near)])
+        assert got == {i: (int(near[i].sum()), low[i]) for i in range(len(x))}
