@@ -22,26 +22,27 @@ except ImportError:  # before Python 3.11
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: pattern, whether letters stand for either case, and what a match must fulfil."""
+    """A kind of secret: pattern, whether letters stand for either case, what a match must fulfil, and a pattern that finds the same without what fails."""
 
     kind: str
     pattern: str
     any_case: bool = False
     keep: Callable[[re.Match], bool] = lambda m: True
+    fast: str | None = None
 
 
 # The three base kinds, and key formats that their issuers publish.
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, lambda m: m.end(2) - m.start(2) >= 12),
     Rule("access", r"AKIA[A-Z0-9]+", False, lambda m: m.end() - m.start() >= 18),
-    Rule("hex", r"[0-9a-f]+", False, lambda m: m.end() - m.start() >= 16),
+    Rule("hex", r"[0-9a-f]+", False, lambda m: m.end() - m.start() >= 16, r"[0-9a-f]{16,}"),
 )
 EXTRA = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----)?"),
     Rule("github", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,72}"),
-    Rule("stripe", r"sk_live_[A-Za-z0-9]{24,99}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,2000}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("stripe", r"sk_live_[A-Za-z0-9]{24,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + EXTRA
 
@@ -205,10 +206,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = Segment(vocabulary)
-        compiled = [re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.any_case else 0)) for r in rules]
-        for i, r in enumerate(rules):
-            if r.kind == "hex":
-                compiled[i] = re.compile(r"[0-9a-f]{16,}")  # the same runs without the shorter ones, which fail
+        compiled = [re.compile(r.fast or r.pattern, re.ASCII | (re.IGNORECASE if r.any_case else 0)) for r in rules]
         for batch in batches:
             raw = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])

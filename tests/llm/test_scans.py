@@ -93,3 +93,42 @@ def test_redaction(spark):
     out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(docs, pii.SpanModel({})).collect()}
     assert out[1] == ("a [EMAIL] b", 11) and out[2] == (None, 7) and out[3] == ("clean", 5)
     assert "4111" not in out[4][0]
+
+
+def test_long_keys_are_found_whole(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n" + "aB+/9\n" * 900 + "-----END RSA PRIVATE KEY-----"
+    jwt = f"eyJ{'a' * 5000}.eyJ{'b' * 9000}.{'c' * 4000}"
+    texts = [f"x {key} y", f"t {jwt} z", "xoxb-" + "1" * 300, "sk_live_" + "z" * 500, "-----BEGIN PRIVATE KEY----- and no end", "eyJ" * 40_000, "-----BEGIN PRIVATE KEY-----" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] not in ("hex", "assign")] for r in secret_scan.scan(docs).collect()}
+    assert found[0] == [("private_key", 2, 2 + len(key))] and found[1] == [("jwt", 2, 2 + len(jwt))]
+    assert found[2] == [("slack", 0, 305)] and found[3] == [("stripe", 0, 508)] and found[4] == [("private_key", 0, 27)]
+    assert found[5] == [] and len(found[6]) == 5000
+
+
+def test_a_rule_of_another_pattern_may_have_a_base_name(spark):
+    docs = spark.createDataFrame([(1, "abcd 0123456789abcdef")], "doc_id long, text string")
+    (row,) = secret_scan.scan(docs, (secret_scan.Rule("hex", r"abcd "),)).collect()
+    assert [(s["start"], s["end"]) for s in row["spans"]] == [(0, 5)]
+
+
+def test_long_names_and_empty_tables(spark):
+    name = "Mr " + "Wolfeschlegelsteinhausenbergerdorff" * 2
+    assert [(a, b, k) for a, b, k in pii.candidates(name)] == [(0, len(name), "person")]
+    none = spark.createDataFrame([], "doc_id long, text string, n_chars long")
+    assert secret_scan.scan(none).count() == 0
+    model = pii.train(none)
+    assert pii.find(none, model).count() == 0 and pii.redact(none, model).count() == 0
+
+
+def test_acceptance_follows_the_labelers():
+    assert pii.votes("ssn 078-05-1120", 4, 15, "id_number") == (1, 0, 1)
+    assert pii.votes("tel (800) 555-1234", 4, 18, "local_phone") == (1, 0, 1)
+    import numpy as np
+
+    patterns = np.array([[1, -1, -1], [1, -1, 1], [1, 0, 0], [0, 0, 0], [1, 1, 1]], float)
+    counts = np.array([500.0, 20, 100, 300, 60])
+    target = pii.expectation_maximisation(patterns, counts)
+    model = pii.SpanModel({"iban": pii.classifier(patterns, counts, target)})
+    taken = [pii.accepted(model, "iban", tuple(p)) for p in patterns.astype(int).tolist()]
+    assert taken[1] and taken[4] and not taken[2] and not taken[3]
