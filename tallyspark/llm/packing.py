@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.shared import checkpointed
+
 #: Words kept with their ids by each Python worker.
 CACHE_WORDS = 400_000
-#: Documents whose pieces are packed together: large enough that bins fill, small enough for one task.
-GROUP_DOCS = 4096
+#: Pieces that are packed together: enough that bins fill, few enough for one task.
+GROUP_PIECES = 4096
 
 _CORE = re.compile(r"([a-zà-öø-ÿß]+)([.,;:!?|#$%&*]+)")
 
@@ -156,24 +158,44 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-def packed(pieces: DataFrame, capacity: int = 2048, groups: int = 1) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows of ``doc_id, piece, start, length, ids_crc32``.
 
-    Pieces are dealt by a hash into ``groups`` that are packed apart, so no task holds more than its
-    group; each group leaves about one sequence that isn't full. Lengths are 1 to ``capacity``.
+    Pieces, copies of one document too, are dealt by a hash into groups of about ``group_pieces`` that are packed apart, so no task
+    holds more than its group. What each group leaves half empty at most is packed once more, whole
+    sequences as pieces, again in groups. Lengths are 1 to ``capacity``.
     """
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    pieces = checkpointed(pieces.select(*columns))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
         number, offset = best_two_fit(rows["length"].to_numpy(), capacity)
-        return rows.drop(columns="_group").assign(sequence_id=number + (int(key[0]) << 32), offset=offset)
-
-    dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("_group"))
-    return dealt.groupBy("_group").applyInPandas(run, schema)
-
-
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Tokenise and pack all documents; the number of groups follows their count. No rows give no rows."""
-    groups = max(1, -(-docs.count() // group_docs))
-    return packed(tokenised_pieces(docs, tokenizer_path, capacity, 0, id_col, text_col), capacity, groups)
+        fill = np.bincount(number, rows["length"]).astype(np.int64)
+        return rows.drop(columns="_group").assign(sequence_id=number + (int(key[0]) << 32), offset=offset, fill=fill[number])
+
+    def again(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sequence_id", kind="stable")
+        whole = rows.drop_duplicates("sequence_id")
+        number, offset = best_two_fit(whole["fill"].to_numpy(), capacity)
+        ids, at = whole["sequence_id"].to_numpy(), np.searchsorted(whole["sequence_id"].to_numpy(), rows["sequence_id"].to_numpy())
+        name = np.empty(number.max() + 1, np.int64)  # a joint sequence keeps the id of one of its parts
+        name[number] = ids
+        return rows[[*columns]].assign(sequence_id=name[number[at]], offset=rows["offset"].to_numpy() + offset[at])
+
+    groups = max(1, -(-pieces.count() // group_pieces))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
+    first = dealt.groupBy("_group").applyInPandas(run, f"{schema}, fill long")
+    if groups == 1:
+        return first.drop("fill")
+    first = checkpointed(first)
+    half = F.col("fill") <= capacity // 2
+    parts = max(1, -(-first.where(half & (F.col("offset") == 0)).count() // group_pieces))
+    left = first.where(half).withColumn("_group", F.pmod(F.xxhash64("sequence_id"), F.lit(parts)))
+    return first.where(~half).drop("fill").union(left.groupBy("_group").applyInPandas(again, schema))
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Tokenise and pack all documents; the number of groups follows that of their pieces. No rows give no rows."""
+    return packed(tokenised_pieces(docs, tokenizer_path, capacity, 0, id_col, text_col), capacity, group_pieces)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallyspark.llm.packing import WordIds, best_two_fit, pack_documents, tokenised_pieces
+from tallyspark.llm.packing import WordIds, best_two_fit, pack_documents, packed, tokenised_pieces
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,10 +47,60 @@ def test_two_documents_replace_the_smallest():
     assert bins[0] == bins[2] == bins[3] != bins[1]
 
 
-def test_packing_round_trip(spark, tokenizer):
+def plain_best_two_fit(lengths, capacity):
+    """Bins as sorted lengths, by search through all that is left."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        held, gap = [], capacity
+        while fit := [x for x in left if x <= gap]:
+            left.remove(fit[0])
+            held.append(fit[0])
+            gap -= fit[0]
+        if gap and len(held) > 1:
+            pairs = [(left[i] + left[j], left[i], left[j]) for i in range(len(left)) for j in range(i + 1, len(left)) if held[-1] < left[i] + left[j] <= gap + held[-1]]
+            if pairs:
+                _, a, b = max(pairs)
+                left.append(held.pop())
+                left.remove(a)
+                left.remove(b)
+                left.sort(reverse=True)
+                held += [a, b]
+        bins.append(sorted(held))
+    return sorted(bins)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=40))
+def test_bins_equal_a_plain_version(lengths):
+    bins, _ = best_two_fit(np.array(lengths, np.int64), 50)
+    found = {}
+    for n, b in zip(lengths, bins.tolist(), strict=True):
+        found.setdefault(b, []).append(n)
+    assert sorted(sorted(x) for x in found.values()) == plain_best_two_fit(lengths, 50)
+
+
+def test_copies_of_a_document_are_spread_and_leftovers_packed_again(spark):
+    rows = [(1, 0, 0, 30, 5)] * 900 + [(k, 0, 0, 64, k) for k in range(2, 300)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packed(pieces, 64, 5).collect()
+    assert len(got) == len(rows)
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len(places) <= 298 + 450 + 20
+
+
+@pytest.mark.parametrize("group", [3, 4096])
+def test_packing_round_trip(spark, tokenizer, group):
     rows = [(1, "hello world"), (2, None), (3, ""), (4, "one two three " * 50), (None, "null id"), (5, "same"), (5, "same")]
     docs = spark.createDataFrame([(i, t, "x", 9) for i, t in rows], "doc_id long, text string, piece string, offset int")
-    got = pack_documents(docs, PATH, capacity=64, group_docs=3).collect()
+    got = pack_documents(docs, PATH, capacity=64, group_pieces=group).collect()
     want = []
     for i, t in rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
