@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset on one machine (tests) a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tallyspark-")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a temporary folder is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -42,8 +48,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has ``src`` and ``dst`` (long); direction, loops and repeats don't matter, an edge with a
     null end is ignored. Alternating large-star and small-star rounds: each is one partially
-    aggregated minimum per vertex and one join back on the vertex, so a vertex with very many
-    neighbours never meets them in one task. Rounds are checkpointed; only two numbers a round
+    aggregated minimum per vertex and one join back on the vertex, and where a vertex with very many
+    neighbours makes a partition of that join large, adaptive execution splits it. Rounds are checkpointed; only two numbers a round
     (rows and a checksum) reach the driver.
     """
     pairs = edges.where("src is not null and dst is not null and src <> dst").select(

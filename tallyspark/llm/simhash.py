@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm.shared import checkpointed, components, empty_edges, unused
 
@@ -210,7 +211,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs`` whose id names their component, one for each; rows with a null id all stay.
 
     With a ``similarity`` documents are linked by that share of common shingles at least, else by
-    the differing bits of their fingerprints.
+    the differing bits of their fingerprints. Of several rows of an id the smallest stays, by text
+    and then by the other columns that have an order.
     """
     if similarity is None:
         found = near_documents(docs, id_col, text_col, shingle_words)
@@ -219,11 +221,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         found = similar_documents(docs, similarity, id_col, text_col, shingle_words)
     found = checkpointed(found)
-    (own,) = unused(docs, "_kept")
+    own, place = unused(docs, "_kept", "_place")
     kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("n_rows"))
     repeated = not kept.where("n_rows > 1").isEmpty()
     out = docs.join(kept.select(own), docs[id_col].cast("long") == F.col(own), "left_semi")
     if repeated:
-        out = out.dropDuplicates([id_col])
+        order = [text_col, *(f.name for f in docs.schema if f.name not in (id_col, text_col) and not isinstance(f.dataType, (T.MapType, T.VariantType)))]
+        first = F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(*[F.col(f"`{c}`") for c in order]))
+        out = out.withColumn(place, first).where(F.col(place) == 1).drop(place)
     nameless = docs.where(F.col(id_col).isNull())
     return out if nameless.isEmpty() else out.union(nameless)

@@ -169,3 +169,27 @@ def test_dealt_rows_go_one_way(spark, monkeypatch):
         np.fill_diagonal(near, False)
         low = closure(range(len(x)), [(int(i), int(j)) for i, j in np.argwhere(near)])
         assert got == {i: (int(near[i].sum()), low[i]) for i in range(len(x))}
+
+
+def test_the_smallest_row_of_a_repeated_id_stays(spark):
+    rows = [(1, "b c d e f", 2, {"k": 1}), (1, "a c d e f", 9, None), (1, "a c d e f", 3, {"k": 2}), (2, "z y x w", 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, m map<string,int>")
+    for part in (df, df.orderBy("n"), df.orderBy("text", "n")):
+        assert sorted((r["doc_id"], r["text"], r["n"]) for r in simhash.deduplicated(part).collect()) == [(1, "a c d e f", 3), (2, "z y x w", 1)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tallyspark.llm.shared import shared_folder
+
+    conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://h:7077"))
+    assert shared_folder(session) == "hdfs://x/y"
+    conf.clear()
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]", "k8s://h"):
+        session.sparkContext.master = master
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(session)
+    session.sparkContext.master = "local[4]"
+    assert shared_folder(session)
