@@ -42,10 +42,10 @@ def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC files of 256 records, against a replica in which some records are lost or altered."""
     pages = table(spark, sf_dir, "pages")
     record = fixity.warc_record(F.col("url"), F.col("page_id"), F.col("html"))
-    catalogue = fixity.laid_out(pages, F.floor(F.col("page_id") / PAGES_PER_FILE), ["page_id"], record, "page_id")
+    file = F.floor(F.col("page_id") / PAGES_PER_FILE)
     fate = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
     replica = pages.where(fate != "00").withColumn("html", F.when(fate <= "03", F.concat(F.lit("X"), "html")).otherwise(F.col("html")))
-    return fixity.audit(catalogue, replica, record, "page_id")
+    return fixity.audit(*[fixity.laid_out(side, file, ["page_id"], record, "page_id") for side in (pages, replica)])
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

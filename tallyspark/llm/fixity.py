@@ -1,4 +1,7 @@
-"""Merkle fixity audit of archived records: compare replicas from the roots down, along mismatches only."""
+"""Merkle fixity audit of archived records: compare replicas from the roots down, along mismatches only.
+
+A leaf is a record with its range of bytes in its file. A node hashes the places, ranges and hashes of its children.
+"""
 
 from __future__ import annotations
 
@@ -51,115 +54,89 @@ def laid_out(records: DataFrame, file: Column, order: list[str], content: Column
     )
 
 
-def paired(catalogue: DataFrame, replica: DataFrame, content: Column, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Leaves of a replica at the places of the catalogue, and the replica's records that have no place there.
-
-    Records of one id, or of none, pair by equal content first and then by their place among what is
-    left. A place without a record has an empty hash and no length. A replica has no places of its own,
-    so a record that only moved is as good as unmoved.
-    """
-    theirs = replica.select(
-        F.col(id_col).cast("long").alias("record_id"), F.octet_length(content).cast("long").alias("length"), F.sha2(content.cast("binary"), 256).alias("hash"), F.lit(1).alias("side")
+def parents(nodes: DataFrame, in_file: bool) -> DataFrame:
+    """The level above: up to FANOUT neighbours in order, their places, ranges and hashes hashed together."""
+    key, ordinal = (F.col("key"), F.floor(F.col("ordinal") / FANOUT)) if in_file else (F.floor(F.col("key") / FANOUT), F.col("ordinal"))
+    child = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("key", "ordinal", "start", "length")], "hash").alias("child")
+    grouped = nodes.groupBy("side", key.alias("key"), ordinal.alias("ordinal")) if in_file else nodes.groupBy("side", key.alias("key"), F.lit(0).cast("long").alias("ordinal"))
+    up = grouped.agg(
+        F.array_sort(F.collect_list(F.struct(F.col("key").alias("k"), F.col("ordinal").alias("o"), child))).alias("below"), F.min("start").alias("start"), F.sum("length").alias("length")
     )
-    both = catalogue.withColumn("side", F.lit(0)).unionByName(theirs, allowMissingColumns=True)
-    alike, own = Window.partitionBy("record_id", "hash"), Window.partitionBy("record_id")
-    both = both.withColumn("copy", F.row_number().over(Window.partitionBy("record_id", "hash", "side").orderBy("file", "ordinal")))
-    both = both.withColumn("here", F.sum("side").over(alike)).withColumn("there", F.sum(1 - F.col("side")).over(alike)).withColumn("listed", F.sum(1 - F.col("side")).over(own) > 0)
-    both = both.withColumn("open", F.col("copy") > F.when(F.col("side") == 0, F.col("here")).otherwise(F.col("there")))
-    both = both.withColumn("place", F.row_number().over(Window.partitionBy("record_id", "side", "open").orderBy("file", "ordinal", "hash")))
-    both = checkpointed(both)
-    places = both.where("side = 0")
-    rest = both.where("side = 1 and open").select(F.col("record_id").alias("_id"), F.col("place").alias("_place"), F.col("length").alias("_length"), F.col("hash").alias("_hash"), "listed")
-    on = F.col("record_id").eqNullSafe(F.col("_id")) & (F.col("place") == F.col("_place"))
-    columns = ["file", "ordinal", "record_id", "offset"]
-    filled = places.where("open").drop("listed").join(rest, on, "left").select(*columns, F.coalesce("_length", F.lit(0)).alias("length"), F.coalesce("_hash", F.lit("")).alias("hash"))
-    surplus = rest.join(places.where("open").select("record_id", "place"), on, "left_anti")
-    return places.where("not open").select(*columns, "length", "hash").union(filled), surplus.select(F.col("_id").alias("record_id"), F.col("_length").alias("length"), F.col("_hash").alias("hash"), "listed")
-
-
-def parents(nodes: DataFrame, key: str) -> DataFrame:
-    """The level above: ranges and hashes of up to FANOUT neighbours in order, hashed; ranges joined."""
-    group = ["file", F.floor(F.col(key) / FANOUT).alias("up")] if key == "ordinal" else [F.floor(F.col(key) / FANOUT).alias("up")]
-    child = F.concat_ws(" ", F.col("start").cast("string"), F.col("end").cast("string"), "hash")
-    up = nodes.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(key), child.alias("child")))).alias("below"), F.min("start").alias("start"), F.max("end").alias("end"))
-    return up.select(*(["file"] if key == "ordinal" else []), F.col("up").alias(key), "start", "end", F.sha2(F.concat_ws("\n", F.col("below.child")), 256).alias("hash"))
-
-
-def tree(leaves: DataFrame) -> list[DataFrame]:
-    """Levels from the leaves to one root: first within each file, then over the files in order."""
-    levels = [leaves.select("file", "ordinal", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "hash")]
-    top = leaves.agg(F.max("ordinal"), F.max("file"), F.min("file")).first()
-    if top[0] is None:
-        return levels
-    most = top[0]
-    while most > 0:
-        levels.append(parents(levels[-1], "ordinal"))
-        most //= FANOUT
-    roots = levels[-1].select("file", "start", "end", "hash")
-    most = top[1] - top[2]
-    roots = roots.withColumn("file", F.col("file") - F.lit(top[2]))
-    levels.append(roots)
-    while most > 0:
-        levels.append(parents(levels[-1], "file"))
-        most //= FANOUT
-    return levels
-
-
-def mismatches(left: DataFrame, right: DataFrame) -> tuple[DataFrame, int]:
-    """Leaves of ``left`` whose hash differs in ``right``, with both hashes, and the number of node pairs compared.
-
-    Both sides have the layout of one catalogue. Two equal roots end the audit at once. A null file
-    is a file of its own before all others. Empty archives are equal.
+    return up.select("side", "key", "ordinal", "start", "length", F.sha2(F.concat_ws("\n", F.col("below.child")), 256).alias("hash"))
+
+
+def differing(nodes: DataFrame) -> DataFrame:
+    """``key, ordinal`` of the nodes that the two sides don't have alike."""
+    met = nodes.groupBy("key", "ordinal").agg(F.count("*").alias("n"), F.min("hash").alias("a"), F.max("hash").alias("b"))
+    return met.where("n < 2 or a <> b").select(F.col("key").alias("_k"), F.col("ordinal").alias("_o"))
+
+
+def mismatches(catalogue: DataFrame, replica: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Leaves of both sides (``side`` 0 and 1) under lowest branches that differ, and how many branches differ on each level from the root down.
+
+    Both trees are built of their own side's layout alone: first within each file, then over the files
+    in order. From the root down only the children of branches that differ are compared; equal roots end
+    the audit. A null file is a file of its own before all others.
     """
-    a, b = (checkpointed(x.withColumn("file", F.coalesce("file", F.lit(-1)))) for x in (left, right))
-    ours, theirs = tree(a), tree(b)
-    if len(ours) == 1:
-        return a.withColumn("replica_hash", F.lit("")).limit(0), 0
-    lowest = a.agg(F.min("file")).first()[0]
-    inner = next(i for i, x in enumerate(ours) if "ordinal" not in x.columns)
-    open_nodes, compared = None, 0
-    for level in range(len(ours) - 1, -1, -1):
-        keys = ["file", "ordinal"] if level < inner else ["file"]
-        x, y = ours[level], theirs[level].select(*keys, F.col("hash").alias("replica_hash"))
-        if open_nodes is not None:
-            # the nodes below what differed one level up; a file's root changes its name on the way into the file
-            if level == inner - 1:
-                seek = open_nodes.select((F.col("file") + F.lit(lowest)).alias("_f"))
-                on = F.col("file") == F.col("_f")
-            elif level < inner:
-                seek = open_nodes.select(F.col("file").alias("_f"), F.col("ordinal").alias("_o"))
-                on = (F.col("file") == F.col("_f")) & (F.floor(F.col("ordinal") / FANOUT) == F.col("_o"))
-            else:
-                seek = open_nodes.select(F.col("file").alias("_f"))
-                on = F.floor(F.col("file") / FANOUT) == F.col("_f")
-            x = x.join(seek, on, "left_semi")
-        open_nodes = checkpointed(x.join(y, keys).where("hash <> replica_hash"))
-        compared += 1
-        if open_nodes.isEmpty():
-            break
-    if "ordinal" not in open_nodes.columns:
-        return a.withColumn("replica_hash", F.lit("")).limit(0), compared
-    bad = open_nodes.select(F.col("file").alias("_f"), F.col("ordinal").alias("_o"), "replica_hash")
-    return a.join(bad, (F.col("file") == F.col("_f")) & (F.col("ordinal") == F.col("_o"))).drop("_f", "_o"), compared
-
-
-def audit(catalogue: DataFrame, replica: DataFrame, content: Column, id_col: str) -> DataFrame:
-    """Damaged records: ``file, record_id, offset, length, expected_hash, found_hash, status``.
-
-    The status is missing, altered, repeated (a further record of an id of the catalogue) or surplus
-    (an id that it lacks). The last two have no file and offset, and an empty expected hash.
+    both = catalogue.withColumn("side", F.lit(0)).unionByName(replica.withColumn("side", F.lit(1)))
+    low = both.agg(F.min("file")).first()[0] or 0
+    both = checkpointed(both.withColumn("key", F.coalesce(F.col("file") - F.lit(low) + 1, F.lit(0).cast("long"))))
+    longest, last = both.agg(F.max("ordinal"), F.max("key")).first()
+    if longest is None:
+        return both, []
+    inner = outer = 1
+    while longest >= FANOUT**inner:
+        inner += 1
+    while last >= FANOUT**outer:
+        outer += 1
+    levels = [both.select("side", "key", "ordinal", F.col("offset").alias("start"), "length", "hash")]
+    for level in range(inner + outer):
+        levels.append(checkpointed(parents(levels[-1], level < inner)))
+    counts, branches = [], None
+    for level in range(inner + outer, 0, -1):
+        nodes = levels[level]
+        if branches is not None:
+            under = (F.col("key") == F.col("_k")) & (F.floor(F.col("ordinal") / FANOUT) == F.col("_o")) if level < inner else F.floor(F.col("key") / FANOUT) == F.col("_k")
+            nodes = nodes.join(branches, under, "left_semi")
+        branches = checkpointed(differing(nodes))
+        counts.append(branches.count())
+        if not counts[-1]:
+            return both.limit(0), counts
+    return both.join(branches, (F.col("key") == F.col("_k")) & (F.floor(F.col("ordinal") / FANOUT) == F.col("_o")), "left_semi"), counts
+
+
+def audit(catalogue: DataFrame, replica: DataFrame) -> DataFrame:
+    """Damage of a replica: ``file, record_id, offset, length, expected_hash, found_hash, status``.
+
+    Both sides are leaves of ``laid_out``. Only what lies under branches that differ is looked at
+    record by record. Records of one id, or of none, pair by equal content first, and of these
+    one is moved if it lies in another file or, of the pairs within a file, at another place.
+    What is left pairs by id and order and is altered. Then a record without a
+    partner is missing, or on the replica's side repeated (its id is in the catalogue) or surplus.
+    File and offset are the catalogue's; the last two have none, and an empty expected hash.
     """
-    found, surplus = paired(catalogue, replica, content, id_col)
-    bad, _ = mismatches(catalogue, found)
-    bad = bad.select(
-        "file",
-        "record_id",
-        "offset",
-        "length",
-        F.col("hash").alias("expected_hash"),
-        F.col("replica_hash").alias("found_hash"),
-        F.when(F.col("replica_hash") == "", "missing").otherwise("altered").alias("status"),
-    )
+    rows, _ = mismatches(catalogue, replica)
+    by_content, by_id = (Window.partitionBy("side", *c).orderBy("key", "ordinal") for c in (["record_id", "hash"], ["record_id"]))
+    rows = checkpointed(rows.withColumn("copy", F.row_number().over(by_content)))
+    ours = rows.where("side = 0").drop("side")
+    theirs = rows.where("side = 1").select(F.col("record_id").alias("_id"), F.col("hash").alias("_hash"), F.col("copy").alias("_copy"), F.col("key").alias("_key"), F.col("ordinal").alias("_ordinal"), F.col("length").alias("_length"))
+    same = F.col("record_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & (F.col("copy") == F.col("_copy"))
+    pairs = ours.join(theirs, same)
+    stays = F.col("key") == F.col("_key")
+    ranks = [F.row_number().over(Window.partitionBy("key", "_key").orderBy(c)) for c in ("ordinal", "_ordinal")]
+    moved = pairs.withColumn("_a", ranks[0]).withColumn("_b", ranks[1]).where(~stays | (F.col("_a") != F.col("_b")))
+    left = ours.join(theirs, same, "left_anti").withColumn("side", F.lit(0)).withColumn("place", F.row_number().over(by_id)).drop("side")
+    right = rows.where("side = 1").join(ours.select(F.col("record_id").alias("_id"), F.col("hash").alias("_hash"), F.col("copy").alias("_copy")), same, "left_anti")
+    right = right.withColumn("_place", F.row_number().over(by_id)).select(F.col("record_id").alias("_id"), F.col("hash").alias("_hash"), F.col("length").alias("_length"), "_place")
+    again = F.col("record_id").eqNullSafe(F.col("_id")) & (F.col("place") == F.col("_place"))
+    damaged = left.join(right, again, "left")
+    extra = right.join(left.select("record_id", "place"), again, "left_anti")
+    listed = catalogue.join(extra.select("_id").distinct(), F.col("record_id").eqNullSafe(F.col("_id")), "left_semi").select("record_id", F.lit(True).alias("_listed")).distinct()
+    extra = extra.join(listed, F.col("_id").eqNullSafe(F.col("record_id")), "left").withColumn("_listed", F.coalesce("_listed", F.lit(False)))
+    columns = ["file", "record_id", "offset", "length", F.col("hash").alias("expected_hash")]
     nowhere = F.lit(None).cast("long")
-    status = F.when(F.col("listed"), "repeated").otherwise("surplus")
-    return bad.union(surplus.select(nowhere, "record_id", nowhere, "length", F.lit(""), "hash", status))
+    return (
+        damaged.select(*columns, F.coalesce("_hash", F.lit("")).alias("found_hash"), F.when(F.col("_hash").isNull(), "missing").otherwise("altered").alias("status"))
+        .union(moved.select(*columns, F.col("_hash"), F.lit("moved")))
+        .union(extra.select(nowhere, F.col("_id"), nowhere, F.col("_length"), F.lit(""), F.col("_hash"), F.when(F.col("_listed"), "repeated").otherwise("surplus")))
+    )

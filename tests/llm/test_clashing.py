@@ -50,8 +50,8 @@ def test_fixity(docs):
     found = []
     for d in (docs, widened(docs)):
         content = fixity.warc_record(F.col("lang"), F.col("doc_id"), F.col("text"))
-        leaves = fixity.laid_out(d, F.floor(F.col("doc_id") / 16), ["doc_id"], content, "doc_id")
-        found.append(rows(fixity.audit(leaves, d.where("doc_id <> 7"), content, "doc_id"), "file", "record_id", "status"))
+        sides = [fixity.laid_out(x, F.floor(F.col("doc_id") / 16), ["doc_id"], content, "doc_id") for x in (d, d.where("doc_id <> 7"))]
+        found.append(rows(fixity.audit(*sides), "file", "record_id", "status"))
     assert found[0] == found[1] and ("0", "7", "missing") in found[0]
 
 

@@ -39,9 +39,13 @@ def test_classifier_without_enough_labels(spark):
     assert s[1] > s[0] and len(s) == 43
 
 
+def laid(df):
+    return fixity.laid_out(df, F.floor(F.col("id") / 10), ["id"], F.coalesce("body", F.lit("")), "id")
+
+
 def leaf_rows(spark, rows):
     df = spark.createDataFrame(rows, "id long, body string, hash string")
-    return df, fixity.laid_out(df, F.floor(F.col("id") / 10), ["id"], F.coalesce("body", F.lit("")), "id")
+    return df, laid(df)
 
 
 @pytest.mark.parametrize("n", [1, 7, 10, 95, 700])
@@ -50,7 +54,7 @@ def test_audit_finds_exactly_the_damage(spark, n):
     _, catalogue = leaf_rows(spark, rows)
     for broken in ([], [0], [n - 1], sorted({0, n // 2, n - 1}), list(range(n))):
         replica = spark.createDataFrame([(i, "bad" if i in broken and i % 2 else b, h) for i, b, h in rows if i not in broken or i % 2], "id long, body string, hash string")
-        got = fixity.audit(catalogue, replica, F.coalesce("body", F.lit("")), "id").collect()
+        got = fixity.audit(catalogue, laid(replica)).collect()
         assert {r["record_id"]: r["status"] for r in got} == {i: "altered" if i % 2 else "missing" for i in broken}
     offsets = {r["record_id"]: (r["offset"], r["length"], r["hash"]) for r in catalogue.collect()}
     at = 0
@@ -63,10 +67,9 @@ def test_audit_finds_exactly_the_damage(spark, n):
 def test_audit_pairs_repeated_records_and_finds_surplus(spark):
     rows = [(1, "a", ""), (1, "b", ""), (1, "b", ""), (2, "c", ""), (None, "n", "")]
     df, catalogue = leaf_rows(spark, rows)
-    body = F.coalesce("body", F.lit(""))
-    assert fixity.audit(catalogue, df, body, "id").count() == 0
+    assert fixity.audit(catalogue, laid(df)).count() == 0
     replica = [(1, "a", ""), (1, "z", ""), (1, "b", ""), (2, "c", ""), (2, "d", ""), (9, "e", ""), (None, "n", ""), (None, "m", "")]
-    got = fixity.audit(catalogue, spark.createDataFrame(replica, df.schema), body, "id").collect()
+    got = fixity.audit(catalogue, laid(spark.createDataFrame(replica, df.schema))).collect()
     sha = lambda x: x and hashlib.sha256(x.encode()).hexdigest()
     want = {(1, sha("b"), sha("z"), "altered"), (2, "", sha("d"), "repeated"), (9, "", sha("e"), "surplus"), (None, "", sha("m"), "repeated")}
     assert {(r["record_id"], r["expected_hash"], r["found_hash"], r["status"]) for r in got} == want and len(got) == 4
@@ -75,15 +78,39 @@ def test_audit_pairs_repeated_records_and_finds_surplus(spark):
 def test_nodes_hash_the_ranges_of_their_children(spark):
     _, leaves = leaf_rows(spark, [(i, str(i), "") for i in range(5)])
     shifted = leaves.withColumn("offset", F.col("offset") + (F.col("ordinal") == 3).cast("long"))
-    tops = [fixity.tree(x)[-1].first()["hash"] for x in (leaves, shifted)]
-    assert tops[0] != tops[1]
+    open_leaves, differ = fixity.mismatches(leaves, shifted)
+    assert differ == [1, 1] and open_leaves.count() == 10
 
 
-def test_equal_replicas_end_at_the_root(spark):
-    _, catalogue = leaf_rows(spark, [(i, str(i), "") for i in range(300)])
-    bad, compared = fixity.mismatches(catalogue, catalogue)
-    assert bad.count() == 0 and compared == 1
+def test_only_branches_that_differ_are_descended(spark):
+    _, catalogue = leaf_rows(spark, [(i, str(i), "") for i in range(3000)])
+    bad, differ = fixity.mismatches(catalogue, catalogue)
+    assert bad.count() == 0 and differ == [0]
     assert fixity.mismatches(catalogue.limit(0), catalogue.limit(0))[0].count() == 0
+    changed = catalogue.withColumn("hash", F.when(F.col("record_id") == 1234, "x").otherwise(F.col("hash")))
+    bad, differ = fixity.mismatches(catalogue, changed)
+    assert differ == [1, 1, 1, 1] and bad.count() == 20
+
+
+def test_moved_records_null_files_and_empty_sides(spark):
+    schema = "file long, at int, id long, body string"
+    rows = [(f, k, 100 * (f or 0) + k, f"b{f}{k}") for f in (None, -1, 0, 5) for k in range(40)]
+    moved = [(f, 40 if (f, k) == (0, 3) else k, i, b) for f, k, i, b in rows if (f, k) != (5, 7)] + [(-1, 50, 507, "b57")]
+    left, right = (fixity.laid_out(spark.createDataFrame(x, schema), F.col("file"), ["at"], F.col("body"), "id") for x in (rows, moved))
+    got = {(r["record_id"], r["file"], r["status"]) for r in fixity.audit(left, right).collect()}
+    # the record put last and those that it leaped over are at another place among the pairs of their file
+    assert got == {(507, 5, "moved")} | {(k, 0, "moved") for k in range(3, 40)}
+    assert fixity.audit(left, left).count() == 0
+    assert {r["status"] for r in fixity.audit(left, left.limit(0)).collect()} == {"missing"}
+    assert {r["status"] for r in fixity.audit(left.limit(0), left).collect()} == {"surplus"}
+
+
+def test_a_damaged_copy_is_found_whatever_its_hash(spark):
+    for body in ("a", "q", "zz", "0"):
+        rows = [(1, "same", ""), (1, "same", ""), (2, "x", "")]
+        _, catalogue = leaf_rows(spark, rows)
+        _, replica = leaf_rows(spark, [(1, "same", ""), (1, body, ""), (2, "x", "")])
+        assert [(r["record_id"], r["status"]) for r in fixity.audit(catalogue, replica).collect()] == [(1, "altered")]
 
 
 def test_mixing_counts_follow_the_inverse_poisson(spark):
