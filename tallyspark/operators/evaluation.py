@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.lineage import numbered
-
 
 def retrieval_metrics(found: DataFrame, golden: DataFrame, k: int, q_id: str = "qid", id_col: str = "doc_id") -> DataFrame:
     """One row: ``questions, hit_rate, recall, mrr`` at k. ``golden`` has a row for each relevant document."""
@@ -57,16 +57,23 @@ def effective_quota(*quotas: Column) -> Column:
     return F.coalesce(F.least(*positive) if len(positive) > 1 else positive[0], F.lit(0))
 
 
+#: P(X <= k) of a Poisson distribution of mean 1, as far as a number of 32 bits can tell.
+POISSON_ONE = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13))
+
+
 def bootstrap_interval(values: DataFrame, value: str, key: str, rounds: int = 2000, alpha: float = 0.05, seed: int = 20260807) -> DataFrame:
-    """Percentile interval of the mean: ``low, high``. Rows are drawn by an MD5 of seed, round and place, so it repeats exactly."""
-    placed_values = numbered(values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(key).alias("_key")), ["_key"], "i").select("v", F.col("i").cast("int").alias("i"))
-    n = placed_values.count()
-    if not n:
-        return values.select(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")).limit(1)
-    draws = values.sparkSession.range(rounds).withColumnRenamed("id", "round").select("round", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"))
-    tag = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("place").cast("string")).cast("binary"))
-    draws = draws.select("round", (F.conv(F.substring(tag, 1, 8), 16, 10).cast("long") % n).cast("int").alias("i"))
-    means = draws.join(placed_values, "i").groupBy("round").agg(F.avg("v").alias("m"))
+    """Percentile interval of the mean: ``low, high``; nulls without values.
+
+    A Poisson bootstrap: in each round a row counts as often as the inverse distribution of mean 1 says at
+    a number hashed from seed, round and key, so it repeats exactly, nothing is joined, and each task
+    sums up all rounds before anything is shuffled. Rows of one key are drawn together.
+    """
+    rows = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(key).cast("string").alias("_key"))
+    drawn = rows.select("v", "_key", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    tag = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.coalesce("_key", F.lit(""))).cast("binary"))
+    drawn = drawn.select("round", "v", (F.conv(F.substring(tag, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))).alias("u"))
+    times = sum(F.when(F.col("u") >= p, 1).otherwise(0) for p in POISSON_ONE)
+    means = drawn.select("round", "v", times.alias("n")).groupBy("round").agg((F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("m")).where("m is not null")
     placed = means.withColumn("p", F.row_number().over(Window.orderBy("m", "round")))
     at = lambda q: max(1, min(rounds, int(q * rounds)))
     pick = lambda q, name: F.round(F.max(F.when(F.col("p") == at(q), F.col("m"))), 6).alias(name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """``df`` from the checkpoint folder that the session names; a temporary one only where none is set."""
+    """``df`` from the checkpoint folder that the session names; where none is set, on one machine (tests) a temporary one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyspark-"))
     return df.checkpoint(eager=True)
 
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import text
+from tallyspark.operators.lineage import materialised
 
 # Okapi constants, fusion constants and pool sizes.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 BM25_WEIGHT, VECTOR_WEIGHT = 0.45, 0.55
 COARSE_POOL = 200
+#: Vectors that a task holds while questions stream by.
+VECTOR_BLOCK = 16_384
 
 
 def tokens(c: Column, cjk: bool = True) -> Column:
@@ -22,7 +27,7 @@ def tokens(c: Column, cjk: bool = True) -> Column:
     words = F.regexp_extract_all(low, F.lit(r"[a-z0-9]+"), F.lit(0))
     if not cjk:
         return words
-    runs = F.regexp_extract_all(low, F.lit(r"[\x{4e00}-\x{9fff}]+"), F.lit(0))
+    runs = F.when(low.rlike(r"[\x{4e00}-\x{9fff}]"), F.regexp_extract_all(low, F.lit(r"[\x{4e00}-\x{9fff}]+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
     pairs = F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, 2))))
     return F.concat(words, F.flatten(pairs))
 
@@ -41,14 +46,16 @@ def postings(chunks: DataFrame, id_col: str, text_col: str, cjk: bool = True) ->
 def bm25(chunks: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", q_id: str = "qid", q_text: str = "question", cjk: bool = True) -> DataFrame:
     """``qid, id, score, rank``: the k best chunks of each question with a positive score, ties by id.
 
-    Only postings of question tokens are counted and shuffled: the questions' distinct tokens cut the
-    tokens down where they are read. A token of the question counts as often as it occurs there.
+    Only postings of question tokens are counted, shuffled and written, once: the questions' distinct
+    tokens cut the tokens down where they are read. A token of the question counts as often as it occurs there.
     """
     asked = questions.select(q_id, F.explode(tokens(F.col(q_text), cjk)).alias("token")).groupBy(q_id, "token").agg(F.count("*").alias("qf"))
-    sizes = chunks.select(F.size(tokens(F.col(text_col), cjk)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    listed = chunks.select(F.col(id_col), tokens(F.col(text_col), cjk).alias("t")).withColumn("dl", F.size("t"))
-    occurring = listed.select(id_col, "dl", F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    needed = occurring.groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # texts are tokenised once: a row without a token stands for the chunk itself, so that its length counts too
+    listed = chunks.select(F.col(id_col), tokens(F.col(text_col), cjk).alias("t")).select(id_col, F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("token"))
+    wanted = asked.select("token").union(chunks.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    counted = materialised(listed.join(wanted, "token", "left_semi").groupBy(id_col, "token", "dl").agg(F.count("*").alias("tf")))
+    sizes = counted.where("token = ''").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("dl")) / F.sum("tf"))
+    needed = counted.where("token <> ''")
     frequency = needed.groupBy("token").agg(F.count("*").alias("df"))
     n, avgdl = sizes.first()
     if not n or not avgdl:
@@ -79,16 +86,58 @@ def keyword_overlap(chunks: DataFrame, questions: DataFrame, k: int, id_col: str
     return ranked(a.join(b, "token").groupBy(q_id, id_col).agg(F.count("*").cast("double").alias("score")), k, q_id, id_col)
 
 
-def inner_product(a: Column, b: Column) -> Column:
-    d = "array<double>"
-    return F.aggregate(F.zip_with(a.cast(d), b.cast(d), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
+def dense(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", q_id: str = "qid", q_vector: str = "q", block_rows: int = VECTOR_BLOCK) -> DataFrame:
+    """``qid, id, score, rank``: the k best inner products, not below 0, with vectors of another id.
 
-def dense(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", q_id: str = "qid", q_vector: str = "q") -> DataFrame:
-    """``qid, id, score, rank``: the k best inner products, not below 0. A stated set of questions meets all vectors."""
-    met = vectors.select(id_col, vector_col).join(questions.select(q_id, q_vector), F.col(id_col) != F.col(q_id))
-    score = F.greatest(F.round(inner_product(F.col(vector_col), F.col(q_vector)), 6), F.lit(0.0))
-    return ranked(met.select(q_id, id_col, score.alias("score")), k, q_id, id_col)
+    Vectors are dealt by a hash into blocks, and the questions stream through each block in batches, so
+    a task holds one block and one batch, and gives on the k best of each question with all that
+    rounding makes equal to them. Null vectors and those of another length than the question's don't compare.
+    """
+    ids, q_ids = vectors.schema[id_col].dataType.simpleString(), questions.schema[q_id].dataType.simpleString()
+    blocks = max(1, -(-vectors.count() // block_rows))
+    parts = max(1, -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    own = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n))
+    held = vectors.select(F.col(id_col).alias("_id"), F.lit(None).cast(q_ids).alias("_q"), F.col(vector_col).cast("array<double>").alias("_v"), own(id_col, blocks, 1).alias("_block"), every(parts).alias("_part"))
+    asks = questions.select(F.lit(None).cast(ids).alias("_id"), F.col(q_id).alias("_q"), F.col(q_vector).cast("array<double>").alias("_v"), every(blocks).alias("_block"), own(q_id, parts, 2).alias("_part"))
+    dealt = held.where("_id is not null and _v is not null").union(asks.where("_q is not null and _v is not null")).withColumn("_block", F.col("_block") * parts + F.col("_part")).drop("_part")
+    dealt = dealt.repartition("_block").sortWithinPartitions("_block", F.col("_q").asc_nulls_first())
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, waiting, tables = None, [], {}
+        for f in frames:
+            f["_w"] = f["_v"].map(len)
+            for block, g in f.groupby("_block", sort=True):
+                if block != now:
+                    now, waiting, tables = block, [], {}
+                asked = g["_q"].notna()
+                if not asked.all():
+                    waiting.append(g[~asked])
+                if not asked.any():
+                    continue
+                if waiting:
+                    own_rows = pd.concat(waiting)
+                    tables = {w: (h["_id"].to_numpy(), np.stack(h["_v"].to_list())) for w, h in own_rows.groupby("_w")}
+                    waiting = []
+                for w, h in g[asked].groupby("_w"):
+                    if w not in tables:
+                        continue
+                    names, table = tables[w]
+                    for at in range(0, len(h), 64):
+                        part = h.iloc[at : at + 64]
+                        score = np.stack(part["_v"].to_list()) @ table.T
+                        score[part["_q"].to_numpy()[:, None] == names[None, :]] = -np.inf
+                        if len(names) > k:
+                            floor = np.partition(score, -k, axis=1)[:, -k] - 2e-6
+                            # at 0 and below all scores are equal and the smaller ids go first
+                            low = np.where(floor <= 1e-6, -np.inf, floor)
+                        else:
+                            low = np.full(len(part), -np.inf)
+                        i, j = np.nonzero((score >= low[:, None]) & (score > -np.inf))
+                        yield pd.DataFrame({q_id: part["_q"].to_numpy()[i], id_col: names[j], "score": score[i, j]})
+
+    met = dealt.mapInPandas(search, f"`{q_id}` {q_ids}, `{id_col}` {ids}, score double")
+    return ranked(met.withColumn("score", F.greatest(F.round("score", 6), F.lit(0.0))), k, q_id, id_col)
 
 
 def fused(channels: dict[str, DataFrame], how: str = "rrf", q_id: str = "qid", id_col: str = "doc_id", rrf_k: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:

@@ -20,8 +20,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight words of each benchmark passage as a question."""
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring_index("text", " ", 8).alias("question"))
+    """Each benchmark passage as a question."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def second_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A channel by the documents' own hash, in place of vectors of texts."""
-    found = bm25_topk(spark, sf_dir)
-    tag = F.md5(F.concat_ws(":", F.col("qid").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
-    scored = found.select("qid", "doc_id", (F.conv(F.substring(tag, 1, 4), 16, 10).cast("double") / 65536).alias("score"))
-    return retrieval.ranked(scored, 6)
+    """A channel with candidates of its own among all documents: those that share most distinct tokens, in place of vectors of texts."""
+    return retrieval.keyword_overlap(documents(spark, sf_dir), questions(spark, sf_dir), 6)
 
 
 def fuse(how: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -77,7 +74,7 @@ def keyword_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read(spark, sf_dir, "embeddings")
-    return retrieval.dense(v, v.where("vec_id < 8").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 8)
+    return retrieval.dense(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 8)
 
 
 def tokenize_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +83,9 @@ def tokenize_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevant documents of a question: those that hold its whole passage. The benchmark is a stated set of questions."""
+    """Relevant documents of a question: those that hold its whole passage."""
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    return documents(spark, sf_dir).join(F.broadcast(b), F.col("text").contains(F.col("passage"))).select("qid", "doc_id")
+    return texts.holding(documents(spark, sf_dir), b)
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +97,7 @@ def recall_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.bootstrap_interval(read(spark, sf_dir, "labels"), "quality", "doc_id", rounds=200)
+    return evaluation.bootstrap_interval(read(spark, sf_dir, "labels"), "quality", "doc_id")
 
 
 def status_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +127,10 @@ def slot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels, over which those of poor and of toxic documents are set anew; a toxic document's list is empty."""
     l = read(spark, sf_dir, "labels")
-    old = l.where("doc_id % 2 = 0").select(F.col("doc_id").alias("qid"), F.array("quality").alias("relevant"))
-    new = l.where("doc_id % 3 = 0").select(F.col("doc_id").alias("qid"), F.when(F.col("toxic") == 1, F.array().cast("array<int>")).otherwise(F.array("quality", "toxic")).alias("relevant"))
+    old = l.select(F.col("doc_id").alias("qid"), F.array("quality").alias("relevant"))
+    new = l.where("quality = 0 or toxic = 1").select(F.col("doc_id").alias("qid"), F.when(F.col("toxic") == 1, F.array().cast("array<int>")).otherwise(F.array("quality", "toxic")).alias("relevant"))
     return evaluation.merged_labels(old, new).select("qid", F.array_join(F.transform("relevant", lambda x: x.cast("string")), ",").alias("relevant"))
 
 
@@ -211,11 +209,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _BM25 = """toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents),
 dls AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS dl FROM documents), st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dls),
-p AS (SELECT doc_id, token, count(*) AS tf FROM toks GROUP BY ALL), qs AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '[a-z0-9]+')) AS token FROM benchmark),
+p AS (SELECT doc_id, token, count(*) AS tf FROM toks GROUP BY ALL), qs AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark),
 qf AS (SELECT qid, token, count(*) AS qf FROM qs GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
 scored AS (SELECT qid, doc_id, round(sum(qf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM qf JOIN p USING (token) JOIN df USING (token) JOIN dls USING (doc_id), st GROUP BY qid, doc_id),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0) WHERE rank <= 10)"""
-_SECOND = """, se AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT qid, doc_id, ('0x' || substr(md5(qid || ':' || doc_id), 1, 4))::INT / 65536.0::DOUBLE AS score FROM bm)) WHERE rank <= 6)"""
+_SECOND = """, se AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank
+FROM (SELECT qid, doc_id, count(*)::DOUBLE AS score FROM (SELECT DISTINCT doc_id, token FROM toks) JOIN (SELECT DISTINCT qid, token FROM qs) USING (token) WHERE length(token) > 1 GROUP BY ALL)) WHERE rank <= 6)"""
 _GOLD = ", gold AS (SELECT DISTINCT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
@@ -235,24 +234,25 @@ def oracle_sql() -> dict[str, str]:
         "doc_quota": f"WITH {_BM25}, q AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS n FROM bm JOIN documents USING (doc_id)) SELECT qid, doc_id, source, row_number() OVER (PARTITION BY qid ORDER BY rank)::INT AS rank FROM q WHERE n <= 2",
         "filtered_else_all": f"WITH {_BM25}, q AS (SELECT *, max((lang = 'de')::INT) OVER (PARTITION BY qid) AS fits FROM bm JOIN documents USING (doc_id)) SELECT qid, doc_id, lang, rank FROM q WHERE fits = 0 OR lang = 'de'",
         "interleave": f"WITH {_BM25}{_SECOND}, t AS (SELECT qid, doc_id, min(rank * 2 + c) AS turn FROM (SELECT *, 0 AS c FROM bm UNION ALL SELECT *, 1 FROM se) GROUP BY qid, doc_id) SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY turn, doc_id)::INT AS rank FROM t",
-        "keyword_overlap": """WITH a AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), b AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '[a-z0-9]+')) AS token FROM benchmark),
+        "keyword_overlap": """WITH a AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), b AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark),
 s AS (SELECT qid, doc_id, count(*)::DOUBLE AS score FROM a JOIN b USING (token) WHERE length(token) > 1 GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 5""",
-        "dense_topk": """WITH s AS (SELECT q.vec_id AS qid, v.vec_id, greatest(round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), 0) AS score FROM embeddings v JOIN embeddings q ON q.vec_id < 8 AND v.vec_id <> q.vec_id)
+        "dense_topk": """WITH s AS (SELECT q.vec_id AS qid, v.vec_id, greatest(round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), 0) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 8""",
         "tokenize_df": "SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL) GROUP BY token",
         "retrieval_metrics": f"""WITH {_BM25}{_GOLD}, h AS (SELECT qid, count(*) AS n, count(rank) AS hit, min(rank) AS best FROM gold LEFT JOIN (SELECT * FROM bm WHERE rank <= 5) USING (qid, doc_id) GROUP BY qid)
 SELECT count(*) AS questions, round(avg((hit > 0)::INT::DOUBLE), 6) AS hit_rate, round(avg(hit / n), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr FROM h""",
         "recall_ceiling": f"WITH {_BM25}{_GOLD} SELECT round(avg(least(2, n) / n), 6) AS ceiling FROM (SELECT qid, count(*) AS n FROM gold GROUP BY qid)",
-        "bootstrap_ci": """WITH v AS (SELECT quality::DOUBLE AS v, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels), c AS (SELECT max(n) AS n FROM v),
-d AS (SELECT r.range AS round, p.range AS place FROM range(200) r, (SELECT unnest(range(n)) AS range FROM c) p),
-m AS (SELECT round, avg(v) AS m FROM d, c JOIN v ON v.i = ('0x' || substr(md5('20260807:' || round || ':' || place), 1, 8))::BIGINT % c.n GROUP BY round), s AS (SELECT m, row_number() OVER (ORDER BY m, round) AS p FROM m)
-SELECT round(max(m) FILTER (p = 5), 6) AS low, round(max(m) FILTER (p = 195), 6) AS high FROM s""",
+        "bootstrap_ci": """WITH c AS (SELECT list_sum(list_transform(range(k + 1), lambda j: exp(-1::DOUBLE) / factorial(j::INT)::DOUBLE)) AS p FROM range(13) t(k)),
+d AS (SELECT r.round, quality::DOUBLE AS v, ('0x' || substr(md5('20260807:' || r.round || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM labels, range(2000) r(round) WHERE quality IS NOT NULL),
+e AS (SELECT round, v, list_sum(list_transform((SELECT list(p) FROM c), lambda p: (u >= p)::INT)) AS n FROM d),
+m AS (SELECT round, sum(v * n) / nullif(sum(n), 0) AS m FROM e GROUP BY round), s AS (SELECT m, row_number() OVER (ORDER BY m, round) AS p FROM m WHERE m IS NOT NULL)
+SELECT round(max(m) FILTER (p = 50), 6) AS low, round(max(m) FILTER (p = 1950), 6) AS high FROM s""",
         "status_crosstab": "SELECT event_type, user_id % 3 AS kind, count(*) AS n FROM events GROUP BY ROLLUP (event_type, user_id % 3)",
         "win_rates": """WITH v AS (SELECT event_type, CASE WHEN user_id % 2 = 0 AND event_id % 4 = 0 THEN 'B' WHEN user_id % 2 = 0 AND event_id % 4 = 1 THEN 'A' WHEN event_id % 4 = 0 THEN 'A' WHEN event_id % 4 = 1 THEN 'B' ELSE 'T' END AS w FROM events)
 SELECT event_type, count(*) AS total, count(*) FILTER (w = 'A') AS wins, count(*) FILTER (w = 'B') AS losses, count(*) FILTER (w = 'T') AS ties, round(count(*) FILTER (w = 'A') / count(*), 6) AS win_rate FROM v GROUP BY event_type""",
         "executability_status": "SELECT CASE WHEN event_id % 7 = 0 THEN 'error' WHEN event_id % 5 = 0 THEN 'clarification' WHEN event_id % 3 = 0 THEN 'sql_built' WHEN user_id % 4 > 0 THEN 'ok_nonempty' ELSE 'ok_empty' END AS status, count(*) AS n FROM events GROUP BY 1",
         "slot_diff": "SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 THEN 'metrics,years' WHEN doc_id % 4 = 0 THEN 'years' ELSE '' END AS differs FROM documents",
-        "golden_merge": "SELECT doc_id AS qid, CASE WHEN doc_id % 3 = 0 THEN quality || ',' || toxic ELSE quality::VARCHAR END AS relevant FROM labels WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 OR doc_id % 3 = 0 AND toxic <> 1",
+        "golden_merge": "SELECT doc_id AS qid, CASE WHEN quality = 0 THEN quality || ',' || toxic ELSE quality::VARCHAR END AS relevant FROM labels WHERE toxic <> 1",
         "review_shortlist": f"""WITH {_BM25}{_GOLD}, m AS (SELECT bm.*, gold.qid IS NOT NULL AS c FROM bm LEFT JOIN gold USING (qid, doc_id)), n AS (SELECT *, row_number() OVER (PARTITION BY qid, c ORDER BY rank) AS k FROM m)
 SELECT qid, doc_id, CASE WHEN c THEN 'confirmed' ELSE 'candidate' END AS part FROM n WHERE c OR k <= 3 UNION ALL SELECT qid, doc_id, 'outside' FROM gold ANTI JOIN bm USING (qid, doc_id)""",
         "label_judge_counts": f"""WITH {_BM25}{_GOLD}, j AS (SELECT qid, doc_id, 1 AS j FROM bm WHERE rank <= 3), c AS (SELECT qid, doc_id, 1 AS c FROM gold), pool AS (SELECT qid, doc_id, 1 AS inside FROM bm)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.functions.catalog import aliases
 from tallyspark.functions.scalars import first_parenthesis, normalised_text, stable_id, stock_code, text
 
 BOM = "﻿"
@@ -28,7 +29,7 @@ def named(df: DataFrame, prefix: str) -> str:
 
 
 def field_registry(spark: SparkSession, paths: dict[str, str], dimensions: tuple[str, ...]) -> DataFrame:
-    """Field rows of the metadata files by table: name, label, type, unit, whether a dimension."""
+    """Field rows of the metadata files by table: name, label, type, unit, aliases, whether a dimension."""
     out = None
     for table, path in paths.items():
         df = csv_table(spark, path)
@@ -39,6 +40,7 @@ def field_registry(spark: SparkSession, paths: dict[str, str], dimensions: tuple
             label.alias("chinese_name"),
             F.col(named(df, "字段类型")).alias("data_type"),
             first_parenthesis(label).alias("unit"),
+            aliases(F.col("字段名称"), label).alias("aliases"),
             F.col("字段名称").isin(*dimensions).alias("is_dimension"),
         )
         out = rows if out is None else out.unionByName(rows)
