@@ -85,6 +85,19 @@ def crosstab(rows: DataFrame, status: str, kind: str) -> DataFrame:
     return rows.rollup(status, kind).agg(F.count("*").alias("n"))
 
 
+def blind_pairs(pairs: DataFrame, key: str, a: str, b: str, seed: int) -> DataFrame:
+    """Adds ``swapped`` and what a judge sees first and second: half of the pairs, by a hash of seed and key, are turned around."""
+    tag = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    out = pairs.withColumn("swapped", F.conv(F.substring(tag, 1, 1), 16, 10).cast("int") >= 8)
+    return out.withColumn("first", F.when(F.col("swapped"), F.col(b)).otherwise(F.col(a))).withColumn("second", F.when(F.col("swapped"), F.col(a)).otherwise(F.col(b)))
+
+
+def whole_judgements(judged: DataFrame, reply: str = "reply", q_id: str = "qid") -> DataFrame:
+    """Judgements of the questions of which every batch has a reply: a batch that failed isn't one that found nothing."""
+    failed = F.max(F.col(reply).isNull().cast("int")).over(Window.partitionBy(q_id))
+    return judged.withColumn("_failed", failed).where("_failed = 0").drop("_failed")
+
+
 def win_rates(verdicts: DataFrame, by: str | None = None) -> DataFrame:
     """``total, wins, ties, losses, win_rate``; a verdict that can't be read is a tie. ``swapped`` turns A and B around."""
     winner = F.when(F.col("swapped") & (F.col("verdict") == "A"), "B").when(F.col("swapped") & (F.col("verdict") == "B"), "A").otherwise(F.col("verdict"))

@@ -147,7 +147,13 @@ def wide_rows(facts: DataFrame, table: str, companies: DataFrame) -> DataFrame:
 
 
 def merged(current: DataFrame, fresh: DataFrame, keys: list[str], keep_nulls: bool = False) -> DataFrame:
-    """``current`` with ``fresh`` written over it by key: a null of ``fresh`` keeps the current value, unless ``keep_nulls``."""
+    """``current`` with ``fresh`` written over it by key: a null of ``fresh`` keeps the current value, unless ``keep_nulls``.
+
+    A column that only one side has is null on the other.
+    """
+    current = current.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fresh.schema if f.name not in current.columns])
+    missing = [f for f in current.schema if f.name not in fresh.columns]
+    fresh = fresh.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
     others = [c for c in current.columns if c not in keys]
     a, b = current.alias("a"), fresh.alias("b")
     here = F.lit(True)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import text
+from tallyspark.functions.scalars import snippet, text
 from tallyspark.operators.lineage import materialised
 
 # Okapi constants, fusion constants and pool sizes.
@@ -43,15 +43,16 @@ def postings(chunks: DataFrame, id_col: str, text_col: str, cjk: bool = True) ->
     return listed.select(id_col, "dl", F.explode("t").alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", q_id: str = "qid", q_text: str = "question", cjk: bool = True) -> DataFrame:
+def bm25(chunks: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", q_id: str = "qid", q_text: str = "question", cjk: bool = True, tokeniser: Callable[[Column], Column] | None = None) -> DataFrame:
     """``qid, id, score, rank``: the k best chunks of each question with a positive score, ties by id.
 
     Only postings of question tokens are counted, shuffled and written, once: the questions' distinct
     tokens cut the tokens down where they are read. A token of the question counts as often as it occurs there.
     """
-    asked = questions.select(q_id, F.explode(tokens(F.col(q_text), cjk)).alias("token")).groupBy(q_id, "token").agg(F.count("*").alias("qf"))
+    cut = tokeniser or (lambda c: tokens(c, cjk))
+    asked = questions.select(q_id, F.explode(cut(F.col(q_text))).alias("token")).where("token <> ''").groupBy(q_id, "token").agg(F.count("*").alias("qf"))
     # texts are tokenised once: a row without a token stands for the chunk itself, so that its length counts too
-    listed = chunks.select(F.col(id_col), tokens(F.col(text_col), cjk).alias("t")).select(id_col, F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("token"))
+    listed = chunks.select(F.col(id_col), cut(F.col(text_col)).alias("t")).select(id_col, F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("token"))
     wanted = asked.select("token").union(chunks.sparkSession.createDataFrame([("",)], "token string")).distinct()
     counted = materialised(listed.join(wanted, "token", "left_semi").groupBy(id_col, "token", "dl").agg(F.count("*").alias("tf")))
     sizes = counted.where("token = ''").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("dl")) / F.sum("tf"))
@@ -216,3 +217,8 @@ def hybrid(chunks: DataFrame, questions: DataFrame, top_k: int = 8, per_document
     if condition is not None:
         found = found.where(condition)
     return quota(found, per_document, group=doc_col).where(F.col("rank") <= top_k)
+
+
+def evidence(found: DataFrame, text_col: str, most: int = 5, size: int = 160, q_id: str = "qid") -> DataFrame:
+    """The first ``most`` rows of a question, each text as a snippet of ``size`` characters."""
+    return found.where(F.col("rank") <= most).withColumn(text_col, snippet(F.col(text_col), size))

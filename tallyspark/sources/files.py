@@ -57,7 +57,8 @@ def company_registry(spark: SparkSession, path: str) -> DataFrame:
 def report_texts(spark: SparkSession, path: str) -> DataFrame:
     """``path, stem, text`` of all markdown files below a folder."""
     df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    return df.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("_metadata.file_name", r"^(.*)\.md$", 1).alias("stem"), F.col("value").alias("text"))
+    plain = lambda c: F.url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B")))  # noqa: E731  names come as parts of an address
+    return df.select(plain("_metadata.file_path").alias("path"), F.regexp_extract(plain("_metadata.file_name"), r"^(.*)\.md$", 1).alias("stem"), F.col("value").alias("text"))
 
 
 def report_metadata(spark: SparkSession, path: str, report_type: str) -> DataFrame:

@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from tallyspark.plans import etl_queries, panel_queries, text_queries
+from tallyspark.plans import etl_queries, panel_queries, store_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = panel_queries.queries() | text_queries.queries() | etl_queries.queries()
-SQL = panel_queries.oracle_sql() | text_queries.oracle_sql() | etl_queries.oracle_sql()
+QUERIES = panel_queries.queries() | text_queries.queries() | etl_queries.queries() | store_queries.queries()
+SQL = panel_queries.oracle_sql() | text_queries.oracle_sql() | etl_queries.oracle_sql() | store_queries.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
