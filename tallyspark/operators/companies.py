@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions.report_names import WRITTEN_CODE, head_of
 from tallyspark.functions.scalars import normalised_text, stock_code
 
-#: Up to so many companies their names are broadcast to be looked for in texts; beyond, Spark chooses the join.
-BROADCAST_COMPANIES = 50_000
+#: First characters of a name that are looked for in texts.
+SEED = 3
 
 
 def names_of(companies: DataFrame, *columns: str) -> DataFrame:
@@ -32,14 +32,19 @@ def resolved(asked: DataFrame, companies: DataFrame, name_col: str = "name", col
 def mentioned(texts: DataFrame, companies: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("stock_abbr",)) -> DataFrame:
     """``id, stock_code``: the code that a text writes out, else that of the longest company name in it; null without any.
 
-    Only texts without a written code meet the names. Ids must be unique; equally long names give the smallest code.
+    Only texts without a written code meet the names: a name's first SEED characters (a shorter one's
+    all) find the texts that hold them, which are then searched for the whole name. Ids must be
+    unique; equally long names give the smallest code.
     """
     told = texts.select(id_col, F.col(text_col).alias("_text"), F.nullif(F.regexp_extract(head_of(F.col(text_col)), WRITTEN_CODE, 1), F.lit("")).alias("_written"))
-    names = names_of(companies, *columns)
-    if names.count() <= BROADCAST_COMPANIES:
-        names = F.broadcast(names)
+    names = names_of(companies, *columns).withColumn("_seed", F.substring("key", 1, SEED))
     open_texts = told.where("_written is null").select(id_col, normalised_text(F.col("_text")).alias("_n"))
-    met = open_texts.join(names, F.col("_n").contains(F.col("key")))
+    sizes = sorted(r[0] for r in names.select(F.char_length("_seed")).distinct().collect())  # SEED numbers at most
+    if not sizes:
+        return told.select(id_col, F.col("_written").alias("stock_code"))
+    pieces = F.array_distinct(F.concat(*[F.regexp_extract_all("_n", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
+    found = open_texts.select(id_col, F.explode(pieces).alias("_seed")).join(names, "_seed").drop("_seed")
+    met = found.join(open_texts, id_col).where(F.col("_n").contains(F.col("key")))
     best = met.groupBy(id_col).agg(F.min_by("stock_code", F.struct(-F.char_length("key"), "stock_code")).alias("_found"))
     return told.join(best, id_col, "left").select(id_col, F.coalesce("_written", "_found").alias("stock_code"))
 

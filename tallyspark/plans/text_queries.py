@@ -260,6 +260,8 @@ SELECT qid, count(*) FILTER (j = 1 AND c = 1) AS hits, count(*) FILTER (c IS NUL
         "effective_quota": "SELECT n_nationkey, coalesce(least(nullif(n_nationkey % 5, 0), nullif(n_regionkey, 0)), nullif(n_nationkey % 5, 0), nullif(n_regionkey, 0), 0) AS quota FROM nation",
         "snippets": r"""WITH t AS (SELECT doc_id, source, lang, trim(regexp_replace(coalesce(text, ''), '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0b}]+', ' ', 'g')) AS s FROM documents)
 SELECT doc_id, CASE WHEN length(s) > 60 THEN length(rtrim(s[1:59])) + 1 ELSE length(s) END::INT AS n, 'doc-' || md5(source || '|' || lang)[1:16] AS id FROM t""",
+        "text_sections": r"""WITH t AS (SELECT doc_id, source, lang, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '^[\s\x{0b}\x{85}\x{a0}]+|[\s\x{0b}\x{85}\x{a0}]+$', '', 'g') AS s FROM documents)
+SELECT doc_id, n::INT AS section_no, CASE n WHEN 1 THEN source ELSE lang END AS section_title, md5(s) AS tag FROM t, range(1, 3) r(n) WHERE s <> ''""",
         "pipe_tables": "SELECT doc_id, 1 AS table_index, source || '~' || lang || ';' || n_chars || '~x' AS cells FROM documents UNION ALL SELECT doc_id, 2, 'z' FROM documents",
         "text_clean_lines": "SELECT doc_id, '# 利润表' || chr(10) || '| ' || source || ' |' || chr(10) || '净利润 1' || chr(10) || '| 项目 | 1 |' AS text FROM documents",
         "page_titles": "SELECT page_id, trim(regexp_replace(regexp_replace(nullif(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), ''), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS title FROM pages",
