@@ -280,7 +280,7 @@ def judge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata_filter_post(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates filtered after ranking: two languages as codes, a part of the source's name as the industry."""
     found = text_queries.with_source(spark, sf_dir).select("qid", "doc_id", "rank", F.col("lang").alias("stock_code"), F.col("source").alias("industry_name"))
-    return retrieval.matching(found, ["en", "de"], "e").select("qid", "doc_id", "rank")
+    return retrieval.matching(found, ["en", "de"], "1").select("qid", "doc_id", "rank")
 
 
 def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,7 +385,7 @@ o AS (SELECT qid, doc_id, 'rrf' AS fusion, row_number() OVER (PARTITION BY qid O
 g AS (SELECT qid, doc_id, fusion, k::INT AS k FROM gold, (SELECT unnest(['rrf', 'weighted']) AS fusion), (SELECT unnest([1, 3, 10]) AS k)),
 q AS (SELECT qid, fusion, k, count(*) AS n, count(r) FILTER (r <= k) AS hit FROM g LEFT JOIN o USING (qid, doc_id, fusion) GROUP BY ALL) SELECT fusion, k, round(avg(hit / n), 6) AS recall FROM q GROUP BY ALL""",
         "judge_batches": f"WITH {bm25} SELECT qid, doc_id, ((rank - 1) // 4)::INT AS batch FROM bm",
-        "metadata_filter_post": f"WITH {bm25} SELECT qid, doc_id, rank FROM bm JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') AND contains(source, 'e')",
+        "metadata_filter_post": f"WITH {bm25} SELECT qid, doc_id, rank FROM bm JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') AND contains(source, '1')",
         "hybrid_pipeline": f"""WITH {bm25}, all_ranks AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0), pool AS (SELECT * FROM all_ranks WHERE rank <= 600),
 f AS (SELECT qid, doc_id, source, rank, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS n FROM pool JOIN documents USING (doc_id) WHERE lang = 'en')
 SELECT qid, doc_id, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM f WHERE n <= 2) WHERE r <= 8""",
