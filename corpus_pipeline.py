@@ -5,7 +5,6 @@ Each stage takes the session, the rows that the stage before kept, and the folde
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import mixing, packing, pii, quality, simhash
 from tallyspark.llm.entries import CAPACITY, MIX_EXPONENT, MIX_SEED, QUALITY_LEAST, table, tokenizer_path
+from tallyspark.llm.shared import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: What near-duplicates have in common: shingles of so many words, this Jaccard similarity at least.
@@ -57,12 +57,26 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-")
-    base = f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again.
+
+    What a stage has read is removed once its own rows are written, and all of it after a failure; only
+    the last stage's rows stay, which the result reads.
+    """
+    base = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+            docs = spark.read.parquet(f"{base}/{k}")
+            if k:
+                remove(spark, f"{base}/{k - 1}")
+    except BaseException:
+        remove(spark, base)
+        raise
     return docs
