@@ -12,10 +12,18 @@ from tallyspark.functions import catalog
 from tallyspark.functions.calculator import CalculationError, compile_expression
 from tallyspark.operators import retrieval
 from tallyspark.plans import presentation
+from tallyspark.plans.agent import Agent
 from tallyspark.plans.dsl import QueryError, Store, compiled, json_rows, normal_code, split, units_of
 from tallyspark.plans.questions import ASK, Company, Memory, Slots, parse_with, step, to_query
 
 TOOL_LIMITS = (1, 200)
+#: Pieces of evidence and their characters.
+EVIDENCE, EVIDENCE_CHARS = 5, 160
+
+
+def compact(found: list[dict], text: str = "text") -> list[dict]:
+    """The first pieces of evidence, their texts on one line and cut."""
+    return [{k: presentation.short(" ".join(v.split()), EVIDENCE_CHARS) if k == text and v else v for k, v in row.items()} for row in found[:EVIDENCE]]
 
 
 @dataclass
@@ -110,20 +118,32 @@ class Engine:
             if codes and "stock_code" in self.chunks.columns:
                 evidence = self.search(question, condition=F.col("stock_code").isin(*codes))
             evidence = evidence or self.search(question)
-        return {"figures": figures, "evidence": evidence}
+        return {"route": self.route(question), "figures": figures, "evidence": compact(evidence)}
+
+    def route(self, question: str) -> str:
+        """Whether a question is answered by figures, first needs a slot, or asks for texts alone."""
+        slots = self.intent(question)
+        if not slots.metrics and not (slots.codes and slots.years):
+            return "texts"
+        return "clarification" if slots.missing else "figures"
+
+    def tools(self) -> dict[str, Callable]:
+        return {"query_financial_data": self.tool_query, "search_research_reports": self.search, "calculate": self.calculate}
+
+    def agent(self, decide: Callable, summarise: Callable) -> Agent:
+        """An agent over the engine's tools; where no decision comes, the question's own answer does."""
+
+        def otherwise(question: str) -> str:
+            figures = self.query(question)
+            answers = [r["answer"] for r in figures.get("results", ())]
+            return "\n".join(answers) or figures.get("question") or figures.get("error") or ""
+
+        return Agent(self.tools(), decide, summarise, otherwise)
 
     def run_tools(self, plan: list[tuple[str, dict]], most: int = 8) -> list[dict]:
         """Runs up to ``most`` tool calls in turn and returns their trace; an unknown or failing tool is an entry with its error."""
-        tools = {"query_financial_data": self.tool_query, "search_research_reports": self.search, "calculate": self.calculate}
-        trace = []
-        for n, (name, arguments) in enumerate(plan[:most], 1):
-            try:
-                outcome = tools[name](**arguments)
-                status = "error" if isinstance(outcome, dict) and "error" in outcome else "ok"
-            except (KeyError, TypeError) as e:
-                outcome, status = {"error": str(e)}, "error"
-            trace.append({"step": n, "tool": name, "arguments": arguments, "status": status, "result": outcome})
-        return trace
+        runner = Agent(self.tools(), lambda _: None, lambda _: None)
+        return [runner.use(n, name, arguments) for n, (name, arguments) in enumerate(plan[:most], 1)]
 
     def with_model(self, model: Callable[[str], str | None] | None) -> Engine:
         return replace(self, model=model)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.facade import Engine
+from tallyspark.facade import Engine, compact
 from tallyspark.functions import catalog, scalars
 from tallyspark.functions.calculator import CalculationError, compile_expression
 from tallyspark.plans.dsl import Condition, Query, QueryError, Store, compiled, safe_select, split
@@ -90,6 +90,16 @@ def test_facade(spark, store):
     assert "error" in e.tool_query(["营收"], [2024], ["FY"], ["999999"]) and e.tool_query(["营收"], [2024], ["FY"])["results"][0][0]["stock_code"] == "300347"
     assert [t["status"] for t in e.run_tools([("calculate", {"expression": "1+1"}), ("nope", {})])] == ["ok", "error"]
     assert e.analysis("白云山2024年年报营收")["evidence"][0]["stock_code"] == "600332"
+    assert [e.route(q) for q in ("白云山2024年年报营收", "2024年营收是多少", "good outlook?")] == ["figures", "clarification", "texts"]
+    moves = iter([{"tool": "calculate", "arguments": {"expression": "2*3"}}, {"answer": "6"}])
+    out = e.agent(lambda m: next(moves), lambda m: None).run("q")
+    assert out["answer"] == "6" and out["trace"][0]["result"] == {"result": 6.0}
+    assert "100万元" in e.agent(lambda m: None, lambda m: None).run("白云山2024年年报营收是多少")["answer"]
+
+
+def test_evidence_is_cut_and_on_one_line():
+    found = compact([{"text": "a\n b " + "c" * 300, "rank": 1}] * 7 + [{"text": None}])
+    assert len(found) == 5 and found[0]["text"].startswith("a b c") and len(found[0]["text"]) == 160 and found[0]["text"].endswith("…")
 
 
 def test_calculator_refuses():
