@@ -152,3 +152,7 @@ def test_time_is_linear_in_unmatched_tags():
         began = time.perf_counter()
         main_text(page)
         assert time.perf_counter() - began < 8
+
+
+def test_no_pages(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
