@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.facade import Engine
 from tallyspark.functions import catalog, scalars
 from tallyspark.operators import evaluation, retrieval, staging, texts
 from tallyspark.operators.lineage import shared_folder
@@ -337,7 +338,61 @@ def chart_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "n_nationkey int, label string, tick string, url string, low double, high double")
 
 
+def nation_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """Nations as companies with a revenue for 2024, and a text for each."""
+    n = panel.read(spark, sf_dir, "nation")
+    code = F.lpad(F.col("n_nationkey").cast("string"), 6, "0")
+    wide = n.select(code.alias("stock_code"), F.col("n_name").alias("stock_abbr"), F.lit(2024).alias("report_year"), F.lit("FY").alias("report_period"), F.col("n_nationkey").cast("decimal(20,2)").alias("total_operating_revenue"))
+    chunks = n.select(F.concat(F.lit("c"), code).alias("chunk_id"), F.concat(F.lit("d"), code).alias("doc_id"), code.alias("stock_code"), F.concat(F.lit("outlook of "), F.col("n_name")).alias("text"))
+    known = [questions.Company(r["stock_code"], r["stock_abbr"]) for r in wide.select("stock_code", "stock_abbr").collect()]
+    return Engine(spark, dsl.Store({catalog.CORE: wide}, {catalog.CORE: ["total_operating_revenue"]}), known, chunks, this_year=THIS_YEAR)
+
+
+def engine_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engine makes of questions: route, status, asked slot, rows and the first value, errors told and not raised."""
+    engine = nation_engine(spark, sf_dir)
+    names = [c.stock_abbr for c in engine.companies if c.stock_code in ("000003", "000007")]
+    asked = [*[f"{n} 2024年年报营收是多少" for n in sorted(names)], "2024年年报营收最高的3家公司", "2024年年报营收是多少", f"{names[0]} 2021年年报营收是多少", f"{names[0]} 2024年年报毛利率", "outlook"]
+    rows = []
+    for k, q in enumerate(asked):
+        got = engine.query(q)
+        found = [r for part in got.get("results", ()) for r in part["rows"]]
+        rows.append((k, engine.route(q), got["status"], got.get("slot"), len(found), float(found[0]["total_operating_revenue"]) if found else None))
+    return spark.createDataFrame(rows, "question int, route string, status string, slot string, n int, first double")
+
+
+def agent_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of an agent that queries, calculates, errs and answers, and the status of one that reaches its limit."""
+    engine = nation_engine(spark, sf_dir)
+    moves = iter(
+        [
+            {"tool": "query_financial_data", "arguments": {"metrics": ["营收"], "years": [2024], "periods": ["FY"], "companies": ["3"]}},
+            {"tool": "calculate", "arguments": {"expression": "a*2", "variables": {"a": 3}}},
+            {"tool": "query_financial_data", "arguments": {"metrics": ["营收"], "years": [2024], "periods": ["FY"], "companies": ["999999"]}},
+            {"tool": "none", "arguments": {}},
+            {"answer": "six"},
+        ]
+    )
+    last = engine.agent(lambda _: next(moves), lambda _: None).run("q")
+    rows = [(t["step"], t["tool"], t["status"]) for t in last["trace"]] + [(0, last["answer"], last["status"])]
+    endless = engine.agent(lambda _: {"tool": "calculate", "arguments": {"expression": "1+1"}}, lambda _: "so far").run("q")
+    rows.append((-1, f"{endless['answer']} {len(endless['trace'])}", endless["status"]))
+    return spark.createDataFrame(rows, "step int, tool string, status string")
+
+
+def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the wide tables as their CREATE TABLE texts say, counted by type once Spark has applied them."""
+    rows = []
+    for table in catalog.TABLES:
+        name = f"made_{table}_{uuid.uuid4().hex}"
+        spark.sql(f"{catalog.ddl(table).replace(table, name, 1)} LOCATION '{fresh_folder(spark)}'")
+        rows += [(table, f.dataType.simpleString()) for f in spark.table(name).schema]
+        spark.sql(f"DROP TABLE {name}")
+    return spark.createDataFrame(rows, "table_name string, kind string").groupBy("table_name", "kind").agg(F.count("*").alias("n"))
+
+
 OWN = (
+    engine_answers, agent_trace, table_columns,
     csv_cells, field_registry, company_registry, zip_markdown, report_texts, file_hashes, research_documents, json_lines, question_set, golden_set, numeric_cells, header_search, note_tables, cell_units, period_scopes, safe_select,
     parsed_questions, model_replies, json_results, rebuilt_runs, stored_pages, offset_pages, text_forms, report_lines, index_round_trip, blind_pairs, whole_judgements, evidence, chart_parts,
 )
@@ -347,6 +402,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OWN}
 
 
+# How many columns of each size a wide table has, beside three texts and two whole numbers.
+TABLE_KINDS = {
+    catalog.CORE: {"decimal(20,2)": 3, "decimal(10,4)": 12},
+    catalog.INCOME: {"decimal(20,2)": 14, "decimal(10,4)": 2},
+    catalog.BALANCE: {"decimal(20,2)": 13, "decimal(10,4)": 3},
+    catalog.CASH: {"decimal(20,2)": 9, "decimal(10,4)": 4},
+}
+
+
 def _rows(columns: str, rows: list[tuple]) -> str:
     cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns})"
@@ -359,6 +423,12 @@ def oracle_sql() -> dict[str, str]:
     bar = f"'[' || repeat('#', {full}) || repeat('.', 20 - {full}) || '] ' || printf('%.1f', n_nationkey / 24.0::DOUBLE * 100) || '%'"
     bm25 = text_queries._BM25
     return {
+        "engine_answers": """WITH q AS (SELECT row_number() OVER (ORDER BY n_name) - 1 AS question, n_nationkey FROM nation WHERE n_nationkey IN (3, 7))
+SELECT question::INT AS question, 'figures' AS route, 'ok_nonempty' AS status, NULL AS slot, 1 AS n, n_nationkey::DOUBLE AS first FROM q
+UNION ALL SELECT 2, 'figures', 'ok_nonempty', NULL, 3, (SELECT max(n_nationkey)::DOUBLE FROM nation) UNION ALL SELECT 3, 'clarification', 'clarification', 'company', 0, NULL
+UNION ALL SELECT 4, 'figures', 'ok_empty', NULL, 0, NULL UNION ALL SELECT 5, 'figures', 'error', NULL, 0, NULL UNION ALL SELECT 6, 'texts', 'clarification', 'metric', 0, NULL""",
+        "agent_trace": _rows("step, tool, status", [(1, "query_financial_data", "ok"), (2, "calculate", "ok"), (3, "query_financial_data", "error"), (4, "none", "error"), (0, "six", "answered"), (-1, "so far 8", "limit")]),
+        "table_columns": _rows("table_name, kind, n", [(t, kind, n) for t, decimals in TABLE_KINDS.items() for kind, n in (("string", 3), ("int", 2), *decimals.items())]),
         "csv_cells": "SELECT n_nationkey::VARCHAR AS n_nationkey, trim(n_name) AS n_name, 'a \"q\"' || chr(10) || n_regionkey AS note, '' AS empty FROM nation",
         "field_registry": """SELECT 'a' AS table_name, n_name AS field_name, n_name || '-总额（万元）' AS chinese_name, 'decimal' AS data_type, '万元' AS unit, n_name || '|' || n_name || '-总额（万元）|' || n_name || '-总额|总额' AS aliases, n_nationkey = 0 AS is_dimension FROM nation
 UNION ALL SELECT 'b', n_name, n_name || '/同比增长(%)', 'decimal', '%', n_name || '|' || n_name || '/同比增长(%)|' || n_name || '/同比增长', n_nationkey = 0 FROM nation UNION ALL SELECT 'b', 'eps', '每股收益', 'decimal', NULL, 'eps|每股收益""" + "".join(f"|{a}" for a in catalog.MANUAL_ALIASES.get("eps", ()) if a != "每股收益") + """', false""",
