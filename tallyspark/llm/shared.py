@@ -43,31 +43,32 @@ def empty_edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "src long, dst long")
 
 
+#: A vertex with more neighbours than this is a hub, and there are not more hubs than that: fewer have so large a share of the edges.
+HUB_EDGES, MOST_HUBS = 256, 20_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable vertex of every vertex that has an edge: columns ``node, component_id``.
 
     ``edges`` has ``src`` and ``dst`` (long); direction, loops and repeats don't matter, an edge with a
     null end is ignored. Alternating large-star and small-star rounds: each is one partially
-    aggregated minimum per vertex and one join back on the vertex, and where a vertex with very many
-    neighbours makes a partition of that join large, adaptive execution splits it. Rounds are checkpointed; only two numbers a round
-    (rows and a checksum) reach the driver.
+    aggregated minimum per vertex and one join back on the vertex. The minima of hubs are broadcast to
+    their edges, so a vertex with very many neighbours never meets them in one task. Rounds are
+    checkpointed; only two numbers a round (rows and a checksum) reach the driver.
     """
     pairs = edges.where("src is not null and dst is not null and src <> dst").select(
         F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
     )
     current = checkpointed(pairs.distinct())
-    before = None
+    before, rows = None, current.count()
     for _ in range(max_rounds):
         both = current.union(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("low"))
-        least = least.select(F.col("src").alias("hub"), F.least("src", "low").alias("low"))
-        large = (
-            both.where("dst > src")
-            .join(least, F.col("src") == F.col("hub"))
-            .select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-            .where("src <> dst")
-            .distinct()
-        )
+        least = both.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n"))
+        least = least.select(F.col("src").alias("hub"), F.least("src", "low").alias("low"), (F.col("n") > max(HUB_EDGES, 2 * rows // MOST_HUBS)).alias("is_hub"))
+        hubs = F.broadcast(least.where("is_hub").select(F.col("hub").alias("_hub"), F.col("low").alias("_low")))
+        up = both.where("dst > src").join(hubs, F.col("src") == F.col("_hub"), "left")
+        few = up.where("_hub is null").join(least.where("not is_hub"), F.col("src") == F.col("hub")).select("dst", "low")
+        large = up.where("_hub is not null").select("dst", "_low").union(few).toDF("src", "dst").where("src <> dst").distinct()
         large = checkpointed(large)
         floor = large.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("hub"), "low")
         small = (
@@ -80,7 +81,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
         if state == before:
             break
-        before = state
+        before, rows = state, state[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return current.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), "low").select(

@@ -284,9 +284,10 @@ def metadata_filter_post(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates in threefold number fused, filtered by language, two of each source, the first eight."""
-    d = text_queries.documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
-    return retrieval.hybrid(d, text_queries.questions(spark, sf_dir), 8, 2, "doc_id", "source", condition=F.col("lang") == "en").select("qid", "doc_id", "rank")
+    """Candidates of both channels in threefold number fused, filtered by language, two of each source, the first eight."""
+    d, q = text_queries.documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), text_queries.questions(spark, sf_dir)
+    second = retrieval.keyword_overlap(d, q, retrieval.pool_sizes(8, False, True)[1])
+    return retrieval.hybrid(d, q, 8, 2, "doc_id", "source", vector=second, condition=F.col("lang") == "en").select("qid", "doc_id", "rank")
 
 
 OWN = (
@@ -386,7 +387,11 @@ g AS (SELECT qid, doc_id, fusion, k::INT AS k FROM gold, (SELECT unnest(['rrf',
 q AS (SELECT qid, fusion, k, count(*) AS n, count(r) FILTER (r <= k) AS hit FROM g LEFT JOIN o USING (qid, doc_id, fusion) GROUP BY ALL) SELECT fusion, k, round(avg(hit / n), 6) AS recall FROM q GROUP BY ALL""",
         "judge_batches": f"WITH {bm25} SELECT qid, doc_id, ((rank - 1) // 4)::INT AS batch FROM bm",
         "metadata_filter_post": f"WITH {bm25} SELECT qid, doc_id, rank FROM bm JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') AND contains(source, '1')",
-        "hybrid_pipeline": f"""WITH {bm25}, all_ranks AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0), pool AS (SELECT * FROM all_ranks WHERE rank <= 600),
+        "hybrid_pipeline": f"""WITH {bm25}, one AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0),
+shared AS (SELECT qid, doc_id, count(*) AS score FROM (SELECT DISTINCT doc_id, token FROM toks) JOIN (SELECT DISTINCT qid, token FROM qs) USING (token) WHERE length(token) > 1 GROUP BY ALL),
+two AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM shared),
+fused AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (FROM one WHERE rank <= 600 UNION ALL FROM two WHERE rank <= 600) GROUP BY ALL),
+pool AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fused),
 f AS (SELECT qid, doc_id, source, rank, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS n FROM pool JOIN documents USING (doc_id) WHERE lang = 'en')
 SELECT qid, doc_id, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM f WHERE n <= 2) WHERE r <= 8""",
     }
