@@ -193,3 +193,19 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
             shared_folder(session)
     session.sparkContext.master = "local[4]"
     assert shared_folder(session)
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from tallyspark.llm import shared
+
+    monkeypatch.setattr(shared, "HUB_EDGES", 3)
+    rng = np.random.default_rng(11)
+    edges = [(0, i) for i in range(1, 80)] + [(500, i) for i in range(60, 130)] + [(i, 9000) for i in range(2000, 2040)] + [tuple(map(int, x)) for x in rng.integers(3000, 3200, (150, 2))]
+    got = {r["node"]: r["component_id"] for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == closure({x for e in edges for x in e if e[0] != e[1]}, edges)
+
+
+def test_no_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.near_documents(none).count() == 0 and simhash.deduplicated(none).count() == 0
+    assert simhash.deduplicated(none, shingle_words=5, similarity=0.8).count() == 0
