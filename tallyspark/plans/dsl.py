@@ -92,11 +92,10 @@ def checked(query: Query) -> Query:
     return query
 
 
-def compiled(query: Query, store: Store) -> DataFrame:
-    """Rows of one wide table.
+def selected(query: Query, store: Store) -> tuple[DataFrame, list[str]]:
+    """All rows of one wide table that a query asks for, neither sorted nor cut, and the columns of its metrics.
 
-    Equality filters come first and reach the scan; the sort and limit become one top-n. Rows equal
-    in all sort columns follow their company code.
+    Equality filters come first and reach the scan.
     """
     query = checked(query)
     located = [store.locate(m) for m in query.metrics]
@@ -117,15 +116,28 @@ def compiled(query: Query, store: Store) -> DataFrame:
             raise QueryError(f"{c.metric} is not in {table}")
         df = df.where(OPERATORS[c.operator](F.col(column), F.lit(c.value)))
     order = store.locate(query.order_by or query.metrics[0])
+    if query.intent == "ranking_query" and order[0] == table:
+        df = df.where(F.col(order[1]).isNotNull())
+    return df, columns
+
+
+def cut(df: DataFrame, query: Query) -> DataFrame:
+    return df.limit(max(LIMITS[0], min(LIMITS[1], query.limit)))
+
+
+def compiled(query: Query, store: Store) -> DataFrame:
+    """Rows of one wide table, sorted and cut.
+
+    The sort and limit become one top-n. Rows equal in all sort columns follow their company code.
+    """
+    df, columns = selected(query, store)
+    order = store.locate(query.order_by or query.metrics[0])
     time = [] if query.rank_scope == "global" else [F.col("report_year").asc(), F.col("report_period").asc()]
-    if order[0] == table:
-        if query.intent == "ranking_query":
-            df = df.where(F.col(order[1]).isNotNull())
+    if order[0] == store.locate(query.metrics[0])[0]:
         by = F.col(order[1])
         time.append(by.desc_nulls_last() if query.descending else by.asc_nulls_last())
     rest = [F.col(c).asc() for c in ("stock_code", "report_year", "report_period")]
-    limit = max(LIMITS[0], min(LIMITS[1], query.limit))
-    return df.select(*KEYS, *columns).orderBy(*time, *rest).limit(limit)
+    return cut(df.select(*KEYS, *columns).orderBy(*time, *rest), query)
 
 
 def split(query: Query, store: Store) -> list[Query]:
@@ -154,12 +166,19 @@ def split(query: Query, store: Store) -> list[Query]:
 
 
 def joined(query: Query, store: Store) -> DataFrame:
-    """Metrics of several tables in one row per company, year and period."""
-    parts = [compiled(replace(q, limit=LIMITS[1]), store).drop("stock_abbr") for q in split(query, store)]
+    """Metrics of several tables in one row per company, year and period.
+
+    Parts meet whole, only their join is sorted and cut; null keys meet each other and come last.
+    """
+    keys = [k for k in KEYS if k != "stock_abbr"]
+    parts = [df.select(*keys, *columns) for df, columns in (selected(q, store) for q in split(query, store))]
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(p, ["stock_code", "report_year", "report_period"], "full_outer")
-    return out.orderBy("report_year", "report_period", "stock_code").limit(max(LIMITS[0], min(LIMITS[1], query.limit)))
+        other = p.withColumnsRenamed({k: f"_{k}" for k in keys})
+        met = out.join(other, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "full_outer")
+        metrics = [c for c in (*out.columns, *p.columns) if c not in keys]
+        out = met.select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys], *metrics)
+    return cut(out.orderBy(*[F.col(k).asc_nulls_last() for k in ("report_year", "report_period", "stock_code")]), query)
 
 
 def units_of(query: Query, store: Store) -> dict[str, str]:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tallyspark.facade import Engine, compact
 from tallyspark.functions import catalog, scalars
 from tallyspark.functions.calculator import CalculationError, compile_expression
-from tallyspark.plans.dsl import Condition, Query, QueryError, Store, compiled, safe_select, split
+from tallyspark.plans.dsl import Condition, Query, QueryError, Store, compiled, joined, safe_select, split
 from tallyspark.plans.questions import Company, Memory, from_reply, parse, parse_with, step, to_query
 
 COMPANIES = [Company("600332", "白云山", "广州白云山医药"), Company("300347", "泰格医药")]
@@ -64,6 +64,16 @@ def test_compiler(store):
     assert [len(p.metrics) for p in parts] == [1, 1]
 
 
+def test_parts_meet_before_the_limit(spark):
+    rows = spark.range(1, 1201).select(F.format_string("%06d", "id").alias("stock_code"), F.lit(None).cast("string").alias("stock_abbr"), F.lit(2024).alias("report_year"), F.lit("FY").alias("report_period"), F.col("id").alias("x"), (-F.col("id")).alias("y"))
+    rows = rows.withColumn("stock_code", F.when(F.col("x") < 1200, F.col("stock_code")))
+    s = Store({"a": rows, "b": rows}, {"a": ["x"], "b": ["y"]})
+    q = Query("comparison_query", ("x", "y"), years=(2024,), periods=("FY",), limit=500)
+    assert [tuple(r) for r in joined(q, s).collect()] == [(f"{i:06d}", 2024, "FY", i, -i) for i in range(1, 501)]
+    few = Store({t: rows.where("x > 1190") for t in ("a", "b")}, s.metrics)
+    assert [tuple(r) for r in joined(q, few).collect()] == [(f"{i:06d}" if i < 1200 else None, 2024, "FY", i, -i) for i in range(1191, 1201)]
+
+
 def test_plan_is_a_top_n(store):
     plan = compiled(Query("ranking_query", ("营收",), years=(2024,), periods=("FY",), limit=2), store)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
