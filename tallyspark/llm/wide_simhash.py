@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import checkpointed, components, empty_edges
+from tallyspark.llm.shared import checkpointed, components, empty_edges, release
 from tallyspark.llm.simhash import posting_edges, shingle_hashes
 
 #: 64-bit words of a fingerprint, and how many of them a posting carries.
@@ -282,6 +282,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
         tree_links(carried_mean + SPREAD * carried_deviation),
     )
     met = checkpointed(met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    release(docs.sparkSession)
     a, b = (reps.select(F.col("rep").alias(end), F.col("wide").alias(f"wide_{end}")) for end in ("src", "dst"))
     pairs = met.join(a, "src").join(b, "dst").where(shared_bytes("wide_src", "wide_dst") >= least_shared_bytes(similarity))
     pairs = pairs.withColumn("apart", bits_apart("wide_src", "wide_dst")).where(F.col("apart") <= most)
@@ -299,6 +300,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
     if not several.isEmpty():
         edges = edges.union(known.join(several, "doc_id").join(reps, "wide").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst")))
     edges = checkpointed(edges.distinct())
+    release(docs.sparkSession)
     whole = components(edges) if not edges.isEmpty() else empty_edges(docs.sparkSession).toDF("node", "component_id")
     # what a forest left out: a similar pair of unlike labels that meets in a list is joined by edges of its forest, so by edges that failed
     label = checkpointed(reps.join(whole, F.col("rep") == F.col("node"), "left").select("wide", "rep", F.coalesce("component_id", "rep").alias("label")))
@@ -315,6 +317,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
         left = sketches(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle_words, True)
         left = left.dropDuplicates(["doc_id", "wide"]).withColumnRenamed("wide", "_wide")
         more = checkpointed(left_links(members, left, similarity))
+        release(docs.sparkSession)
         if not more.isEmpty():
             whole = components(edges.union(more))
     named = reps.join(whole, reps["rep"] == whole["node"], "left").select(F.col("wide").alias("_wide"), F.coalesce("component_id", "rep").alias("component_id"))

@@ -209,3 +209,20 @@ def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_documents(none).count() == 0 and simhash.deduplicated(none).count() == 0
     assert simhash.deduplicated(none, shingle_words=5, similarity=0.8).count() == 0
+
+
+def test_few_edges_take_few_jobs_and_end_as_the_rounds_do(spark, monkeypatch):
+    from tallyspark.llm import shared
+
+    monkeypatch.setattr(shared, "HUB_EDGES", 3)
+    rng = np.random.default_rng(12)
+    edges = [(i, i + 1) for i in range(-5, 40)] + [(900 - i, 901 - i) for i in range(30)] + [(0, i) for i in range(60, 130)] + [tuple(map(int, x)) for x in rng.integers(3000, 3200, (150, 2))] + [(1, 1), (None, 3)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    context = spark.sparkContext
+    context.setJobGroup("few edges", "")
+    few = dict(map(tuple, components(df).collect()))
+    jobs = len(context.statusTracker().getJobIdsForGroup("few edges"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert few == dict(map(tuple, components(df, few_edges=0).collect())) and jobs <= 8
+    assert few == closure({x for e in edges for x in e if None not in e and e[0] != e[1]}, [e for e in edges if None not in e])
+    assert components(df.where("src = dst")).count() == 0
