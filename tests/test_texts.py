@@ -118,3 +118,17 @@ def test_names_of_reports_and_companies(spark):
     assert [tuple(r) for r in companies.resolved(n, c).collect()] == [("1", "000001"), (" ALPHA", "000001"), ("zzz", None), ("", None), (None, None)]
     two = spark.createDataFrame([("1", 1, "a"), ("000001", 2, "b"), (" ", 3, "c")], "stock_code string, n int, name string")
     assert [tuple(r) for r in companies.newest(two, "n").collect()] == [("000001", 2, "b")]
+
+
+def test_names_that_begin_alike(spark):
+    from tallyspark.operators import companies
+
+    long = "x" * 70
+    listed = [(f"{i:06d}", f"Supplier#{i:09d}") for i in range(3000)] + [("100001", "ab"), ("100002", "?ab"), ("100003", "a\\E"), ("100004", long + "y"), ("100005", long + "z1"), ("100006", long + "z"), ("100007", "b😀c😀"), ("100008", "x" * 64)]
+    c = spark.createDataFrame(listed, "stock_code string, stock_abbr string")
+    said = ["of SUPPLIER#00000 2999", "supplier#000000007 supplier#000000005", "supplier#00000", "😀ab", "is a\\e", long + " z1", "!" + long + "z", long, "😀b😀c😀", "sup", "supplier#000003000 ab"]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "doc_id int, text string")
+    want = ["002999", "000005", None, "100001", "100003", "100005", "100006", "100008", "100007", None, "100001"]
+    assert [r["stock_code"] for r in companies.mentioned(t, c).orderBy("doc_id").collect()] == want
+    many = spark.range(2000).select("id", F.concat(F.lit("on supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("text"))
+    assert companies.mentioned(many, c, "id").where(F.col("stock_code") == F.lpad(F.col("id").cast("string"), 6, "0")).count() == 2000
